@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, mixing
+from ledgerloom.llm import bpe, exact_dedup, mixing, token_binary
+from ledgerloom.llm.store import fresh_path
 
 
 def tokenizer(name: str) -> str:
@@ -27,9 +28,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_binary.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
+    return token_binary.read_tokens(spark, path, digest=True)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_bpe, op9_token_binary, op10_mixing)}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
