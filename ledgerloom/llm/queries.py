@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, mixing, ngram_join, token_binary
+from ledgerloom.llm import bpe, exact_dedup, mixing, ngram_join, substring_dedup, token_binary
 from ledgerloom.llm.store import fresh_path
 
 
@@ -24,6 +24,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), all_digests=True)
 
@@ -42,5 +46,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op7_exact_dedup, op8_bpe, op9_token_binary, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op5_substring_dedup, op7_exact_dedup, op8_bpe, op9_token_binary, op10_mixing)}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
