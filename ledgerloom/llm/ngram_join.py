@@ -34,7 +34,7 @@ from ledgerloom.llm.components import labels
 from ledgerloom.llm.store import stored
 
 U = np.uint64
-GROUPS, LEAF, CELL = 64, 32, 512
+GROUPS, LEAF, CELL = 512, 32, 512
 SKETCH_BITS = 18
 ROWS_AT_ONCE = 100_000
 
@@ -65,6 +65,12 @@ def group_of(s: np.ndarray) -> np.ndarray:
     return (s >> U(40)) % U(GROUPS)
 
 
+def count_vectors(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many shingles of each set fall into each group."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return np.bincount(owner * GROUPS + group_of(s).astype(np.int64), minlength=(len(at) - 1) * GROUPS).reshape(-1, GROUPS)
+
+
 def needed(n: int, percent: int) -> int:
     """Least overlap that a linked set of this size has: the size times the threshold, rounded up."""
     return -(-n * percent // 100)
@@ -131,7 +137,7 @@ def by_key(batches, key: int = 0):
 
 
 def facts(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, class, check, vector`` of every row, and one row a task with its sketch of shingle counts."""
+    """``doc_id, n_shingles, class, check`` of every row, and one row a task with its sketch of shingle counts."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -141,17 +147,13 @@ def facts(docs: DataFrame, n: int) -> DataFrame:
             sizes = np.diff(at)
             total = lambda v: np.concatenate([[U(0)], np.cumsum(v, dtype=np.uint64)])[at]
             one, two = np.diff(total(words.mix(s + U(1)))), np.diff(total(words.mix(s ^ U(0x5851F42D4C957F2D))))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            vectors = np.bincount(owner * GROUPS + group_of(s).astype(np.int64), minlength=len(sizes) * GROUPS).astype("<i4").reshape(-1, GROUPS)
-            raw = vectors.tobytes()
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(words.mix(one).view(np.int64)), pa.array(two.view(np.int64)),
-                pa.array([raw[i : i + 4 * GROUPS] for i in range(0, len(raw), 4 * GROUPS)], pa.binary()), pa.nulls(len(sizes), pa.binary()),
-            ], ["doc_id", "n_shingles", "class", "check", "vector", "sketch"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                                          pa.array([sketch.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n_shingles", "class", "check", "vector", "sketch"])
+                pa.nulls(len(sizes), pa.binary()),
+            ], ["doc_id", "n_shingles", "class", "check", "sketch"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([sketch.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n_shingles", "class", "check", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, check long, vector binary, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, check long, sketch binary")
 
 
 def sketch_of(rows: DataFrame) -> np.ndarray:
@@ -197,33 +199,49 @@ def keys(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     return docs.mapInArrow(run, "key long, class long")
 
 
+def whole_keys(batches, key: int = 0):
+    """Batches sorted by a key, cut anew so that no key is in two of them."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        k = table.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut).combine_chunks().to_batches()[0]
+    if rest is not None:
+        yield pa.Table.from_batches([rest])
+
+
 def meetings(met: DataFrame) -> DataFrame:
     """``meeting, class`` from ``key, class``: keys of the same several classes are one meeting."""
 
     def run(batches):
-        names, members = [], []
-        for group in by_key(batches):
-            c = np.unique(group.column(1).to_numpy())
-            if len(c) > 1:
-                names.append(np.full(len(c), words.mix(np.add.reduce(words.mix(c.view(np.uint64)), keepdims=True)).view(np.int64)[0]))
-                members.append(c)
-                if sum(map(len, names)) > ROWS_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["meeting", "class"])
-                    names, members = [], []
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["meeting", "class"])
+        for table in whole_keys(batches):
+            k, c = table.column(0).to_numpy(), table.column(1).to_numpy()
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            k, c = k[new], c[new]
+            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(at, len(k)))
+            name = words.mix(np.add.reduceat(words.mix(c.view(np.uint64)), at))
+            keep = np.repeat(size > 1, size)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(c[keep])], ["meeting", "class"])
 
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "meeting long, class long").distinct()
+    return met.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "meeting long, class long").distinct()
 
 
 def home_links(homes: DataFrame, n: int, percent: int) -> DataFrame:
-    """``node, label`` for classes in one home cell: the smallest node it is connected to there."""
+    """``node, label, n_shingles, vector`` for the classes of a home cell: the smallest node it is connected to there, and its point."""
 
     def run(batches):
         for group in by_key(batches):
             nodes = group.column("node").to_numpy()
             s, at = shingle_sets(group.column("text").combine_chunks(), n)
-            vectors = np.bincount(np.repeat(np.arange(len(nodes)), np.diff(at)) * GROUPS + group_of(s).astype(np.int64), minlength=len(nodes) * GROUPS).reshape(-1, GROUPS)
+            vectors = count_vectors(s, at)
             tree = CountTree(vectors, np.diff(at))
             root = list(range(len(nodes)))
 
@@ -241,9 +259,10 @@ def home_links(homes: DataFrame, n: int, percent: int) -> DataFrame:
                     if x != y and linked(get(a), get(b), percent):
                         x, y = (x, y) if nodes[x] <= nodes[y] else (y, x)
                         root[y] = x
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[find(i) for i in range(len(nodes))]])], ["node", "label"])
+            points = [v.astype("<u4").tobytes() for v in vectors]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[find(i) for i in range(len(nodes))]]), pa.array(np.diff(at)), pa.array(points, pa.binary())], ["node", "label", "n_shingles", "vector"])
 
-    return homes.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "text").mapInArrow(run, "node long, label long")
+    return homes.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "text").mapInArrow(run, "node long, label long, n_shingles long, vector binary")
 
 
 def open_pairs(met: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -252,7 +271,7 @@ def open_pairs(met: DataFrame, percent: int, every: bool) -> DataFrame:
     def run(batches):
         for group in by_key(batches):
             nodes, comp = group.column("node").to_numpy(), group.column("label").to_numpy()
-            vectors = np.stack([np.frombuffer(x, "<i4") for x in group.column("vector").to_pylist()])
+            vectors = np.stack([np.frombuffer(x, "<u4") for x in group.column("vector").to_pylist()])
             tree = CountTree(vectors, group.column("n_shingles").to_numpy())
             seen, a, b = set(), [], []
             for k in range(len(nodes)):
@@ -303,7 +322,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rows = stored(facts(docs, n), "ngram_facts")
     sketch = spark.sparkContext.broadcast(sketch_of(rows))
     rows = rows.where("sketch is null").drop("sketch")
-    classes = rows.where("n_shingles > 0").groupBy("class", "check", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("vector").alias("vector"))
+    classes = rows.where("n_shingles > 0").groupBy("class", "check", "n_shingles").agg(F.min("doc_id").alias("node"))
     classes = stored(classes.where("node is not null"), "ngram_classes")
     met = meetings(keys(docs, n, percent, sketch))
     met = stored(met.join(classes.select("class", "node"), "class").select("meeting", "node").distinct(), "ngram_meetings")
@@ -312,15 +331,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     cells = F.ceil(F.col("h.size") / CELL)
     home = home.select("node", F.xxhash64("h.meeting", F.pmod(F.xxhash64("node"), cells)).alias("cell"))
     texts = stored(docs.join(home, docs.doc_id == home.node).select("cell", "node", "text"), "ngram_texts")
-    label = stored(home_links(texts, n, percent), "ngram_home")
-    label = label.groupBy("node").agg(F.min("label").alias("label"))
+    points = stored(home_links(texts, n, percent), "ngram_home")
+    label = points.groupBy("node").agg(F.min("label").alias("label"))
     tried = None
     for every in (False, True):
         placed = met.join(label, "node")
         apart = placed.groupBy("meeting").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("meeting")
-        points = classes.select("node", "n_shingles", "vector")
-        pairs = open_pairs(placed.join(apart, "meeting", "left_semi").join(points, "node"), percent, every)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram_pairs")
+        pairs = open_pairs(placed.join(apart, "meeting", "left_semi").join(points.drop("label"), "node"), percent, every)
+        pairs = stored(pairs, "ngram_pairs")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if pairs.isEmpty():
             break
         tried = pairs

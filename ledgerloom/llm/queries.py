@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, mixing, ngram_join, substring_dedup, token_binary
+from ledgerloom.llm import bpe, exact_dedup, mixing, ngram_join, substring_dedup, token_binary, toxicity
 from ledgerloom.llm.store import fresh_path
 
 
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -46,5 +52,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op5_substring_dedup, op7_exact_dedup, op8_bpe, op9_token_binary, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_ngram_jaccard, op5_substring_dedup, op7_exact_dedup, op8_bpe, op9_token_binary, op10_mixing)}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words
-from ledgerloom.llm.ngram_join import by_key
+from ledgerloom.llm.ngram_join import by_key, whole_keys
 from ledgerloom.llm.store import stored
 
 WINDOW, PREFIX = 50, 12
 GROUP_ROWS, TREE_BYTES = 4096, 4 << 20
-ROWS_AT_ONCE = 50_000
 
 
 def window_prefixes(h: np.ndarray, begin: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,22 +106,20 @@ def shared_prefixes(docs: DataFrame, window: int, prefix: int, group_rows: int)
             yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), batch.column(0).take(pa.array(owner))], ["key", "doc_id"])
 
     def several(batches):
-        out: list[pa.Table] = []
-        rows = 0
-        for group in by_key(batches):
-            ids = group.column(1).to_numpy()
-            if len(ids) > 1 and ids.min() < ids.max():
-                mine = np.unique(ids)
-                out.append(pa.table({"doc_id": mine, "key": np.full(len(mine), group.column(0)[0].as_py()), "long": np.full(len(mine), len(ids) > group_rows)}))
-                rows += len(mine)
-                if rows > ROWS_AT_ONCE:
-                    yield from pa.concat_tables(out).combine_chunks().to_batches()
-                    out, rows = [], 0
-        if out:
-            yield from pa.concat_tables(out).combine_chunks().to_batches()
+        for table in whole_keys(batches):
+            k, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
+            rows = np.diff(np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)))
+            rows = np.repeat(rows, rows)
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (ids[1:] != ids[:-1])
+            k, ids, rows = k[new], ids[new], rows[new]
+            docs_of = np.diff(np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k)))
+            keep = np.repeat(docs_of > 1, docs_of)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(k[keep]), pa.array(rows[keep] > group_rows)], ["doc_id", "key", "long"])
 
     found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key long, doc_id long")
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(several, "doc_id long, key long, long boolean")
+    return found.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(several, "doc_id long, key long, long boolean")
 
 
 def stretch_rows(held: DataFrame, window: int, prefix: int) -> DataFrame:
