@@ -22,11 +22,10 @@ the files and any block is decoded alone.
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bpe import slices
+from ledgerloom.llm import words
 
 SCALE, LOW = 20, 31  # bits of the frequency scale; a state lies in [2**LOW, 2**(LOW + 32))
 BLOCK, LANES, FRAME = 1 << 20, 4096, 1 << 22
-MAX_CHUNKS = 700_000
+MAX_WORDS, WORDS_AT_ONCE, TEXT_AT_ONCE = 3_000_000, 1000, 12 << 20
 BLOCK_TYPE = pa.struct([("n", pa.int32()), ("states", pa.binary()), ("words", pa.binary()), ("crc", pa.int64())])
 FRAME_TYPE = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                         ("lens", pa.list_(pa.int64())), ("symbols", pa.binary()), ("freqs", pa.binary()), ("blocks", pa.list_(BLOCK_TYPE))])
@@ -125,11 +124,15 @@ def decode_frame(symbols: bytes, freqs: bytes, blocks: list[dict]) -> np.ndarray
     return np.concatenate(out)
 
 
-class ChunkTokenizer:
-    """The library's encoding of texts, asked for each distinct stretch between blanks once.
+class WordTokenizer:
+    """The library's encoding of texts, asked for each distinct word of a worker once.
 
-    For a tokenizer that drops white space and never joins across it; a special
-    token contains no blank, so the library still sees each whole."""
+    For a tokenizer that drops white space, never joins across it and folds
+    case.  Words are told apart by a 64-bit hash that folds ASCII case too; a full stop
+    or comma behind a letter is a word of its own, since it encodes alone as it
+    does there.  Only texts with what could be a special token, whose case
+    counts, are hashed by their exact bytes.  Known words are three arrays:
+    sorted hashes, and where in ``tokens`` the ids of each begin and end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,40 +140,72 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation(), self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """Ids of each text with ``end`` after them."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > MAX_CHUNKS:
-            self.known = {"": b""}
-        new = {c: self.parts(c) for c in set(chain.from_iterable(split)) - self.known.keys()}
-        asked = list({p for ps in new.values() for p in ps} - self.known.keys())
-        for i in range(0, len(asked), 20_000):
-            some = asked[i : i + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        get, stop = self.known.__getitem__, end.to_bytes(4, "little")
-        self.known |= {c: b"".join(map(get, ps)) for c, ps in new.items() if c not in self.known}
-        return [np.frombuffer(b"".join(map(get, cs)) + stop, "<u4") for cs in split]
-
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, ...]:
-        """Pieces that encode alone as they do together: ASCII letters in lower case, and one mark behind letters.
-
-        The last letter must be below U+0130, where lower-casing and composing a letter leave a letter."""
-        mark = ""
-        if chunk[-1] in ",." and chunk[:-1].isalpha() and chunk[-2] < "\u0130":
-            chunk, mark = chunk[:-1], chunk[-1]
-        if chunk.isascii() and chunk.isalpha():
-            chunk = chunk.lower()
-        return (chunk, mark) if mark else (chunk,)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        mark, self.ends = model.get("end_of_word_suffix"), None
+        if mark:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(True), bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(mark)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.begin, self.end, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a column, ``end`` after each text's, and how many each text has."""
+        data, starts, ends, bounds = words.parsed(column)
+        raw = data.tobytes()
+        if len(starts):
+            last, before, ahead = data[ends - 1], data[np.maximum(ends - 2, 0)], data[np.maximum(ends - 3, 0)]
+            letter = ((before | 32) >= 97) & ((before | 32) <= 122) & (ends - starts > 1)
+            letter |= (ahead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (ends - starts > 2)
+            cut = ends[((last == 44) | (last == 46)) & letter] - 1
+            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        exact = b"<|" in raw
+        h = words.span_hashes(data, starts, ends, lower=not exact) ^ np.uint64(0x94D049BB133111EB * exact)
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > MAX_WORDS:
+            self.forget()
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(np.append(self.hashes, ~distinct[-1:])[at] != distinct) if len(distinct) else np.zeros(0, np.int64)
+        if len(new):
+            where = first[new]
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, distinct)
+        size = (self.end - self.begin)[at][which]
+        text = np.searchsorted(bounds[1:], starts, "right")  # of each word
+        place = np.cumsum(size) - size + text
+        out = np.full(int(size.sum()) + len(column), end, np.uint32)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(place, size) + step] = self.tokens[np.repeat(self.begin[at][which], size) + step]
+        return out, np.bincount(text, size, len(column)).astype(np.int64) + 1
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Ask the library for new words; those of letters alone go many in one text, where each ends with a token that ends a word."""
+        ids: list = [None] * len(texts)
+        plain = [k for k, w in enumerate(texts) if w.isalpha() and max(w) < "\u0130"] if self.ends is not None else []
+        for i in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[i : i + WORDS_AT_ONCE]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in some)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) == len(some):  # else they are asked one by one
+                for k, x in zip(some, np.split(got, stops[:-1]), strict=True):
+                    ids[k] = x
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+                ids[k] = np.array(e.ids, np.uint32)
+        stop = np.cumsum([len(x) for x in ids]) + len(self.tokens)
+        begin = np.concatenate([[len(self.tokens)], stop[:-1]])
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes = np.concatenate([self.hashes, hashes])[order]
+        self.begin, self.end = np.concatenate([self.begin, begin])[order], np.concatenate([self.end, stop])[order]
+        self.tokens = np.concatenate([self.tokens, *ids])
 
 
 @lru_cache(maxsize=2)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    gc.disable()  # the table of stretches is large and free of cycles
-    return ChunkTokenizer(path)
+def word_tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -180,24 +215,23 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1
     ordered by their text; an empty table writes files without frames."""
 
     def run(batches):
-        tokens, part = chunk_tokenizer(tokenizer_path), TaskContext.get().partitionId()
+        tokens, part = word_tokenizer(tokenizer_path), TaskContext.get().partitionId()
         frame, first, held, ids, lens = 0, 0, [], [], []
 
         def flush():
             nonlocal frame, first, held, ids, lens
-            flat = np.concatenate(held) if held else np.zeros(0, np.uint32)
+            flat = np.concatenate(held)
             row = {"part": part, "frame": frame, "first": first, "n_tokens": len(flat), "doc_ids": ids, "lens": lens} | encode_frame(flat)
             frame, first, held, ids, lens = frame + 1, first + len(flat), [], [], []
             return pa.RecordBatch.from_pylist([row], schema=FRAME_TYPE)
 
-        size = 0
-        for some, texts in slices(batches):
-            for i, x in zip(some.to_pylist(), tokens.encode(texts, end_id), strict=True):
-                held.append(x), ids.append(i), lens.append(len(x))
-                size += len(x)
-                if size >= FRAME:
-                    yield flush()
-                    size = 0
+        for batch in words.text_slices(batches, 1, TEXT_AT_ONCE):
+            flat, sizes = tokens.encode(batch.column(1), end_id)
+            held.append(flat)
+            ids += batch.column(0).to_pylist()
+            lens += sizes.tolist()
+            if sum(map(len, held)) >= FRAME:
+                yield flush()
         if ids:
             yield flush()
 

@@ -63,19 +63,21 @@ def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(last) + 1
 
 
-def hashed(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts of a string column, and where each text's begin (one more at the end).
-
-    A null text has no words."""
+def parsed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined bytes of a string column, the starts and ends of its words, and where each text begins (one more at the end)."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     column = column.fill_null("") if column.null_count else column
     _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
     bounds = bounds - bounds[0]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
-    starts, ends = word_spans(data, bounds[:-1])
+        return data, np.zeros(0, np.int64), np.zeros(0, np.int64), bounds
+    return data, *word_spans(data, bounds[:-1]), bounds
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of the words at these places, in order."""
     table, out, k = LOWER if lower else BYTE, np.empty(len(starts), np.uint64), 0
     while k < len(starts):
         j = max(int(np.searchsorted(ends, starts[k] + PIECE, "right")), k + 1)
@@ -89,7 +91,15 @@ def hashed(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarra
         else:
             out[k:j] = _piece(data[base:stop], table, starts[k:j] - base, ends[k:j] - base)
         k = j
-    return mix(out), np.searchsorted(starts, bounds)
+    return mix(out)
+
+
+def hashed(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts of a string column, and where each text's begin (one more at the end).
+
+    A null text has no words."""
+    data, starts, ends, bounds = parsed(column)
+    return span_hashes(data, starts, ends, lower), np.searchsorted(starts, bounds)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
