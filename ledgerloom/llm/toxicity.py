@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: an ordinary one on
-windows of ordinary documents, and a toxic one on the windows that toxic
-documents repeat and ordinary ones hardly know.  A window of text is compressed
+Two zstandard dictionaries are made from labelled text: an ordinary one of the
+windows that most ordinary documents hold, and a toxic one of the windows that
+toxic documents repeat and ordinary ones hardly know.  A window of text is compressed
 with the ordinary dictionary alone and with both; what the toxic one saves is
 the window's *saving*.  Windows whose saving reaches a level are counted at
 several levels, and a logistic fit on labelled documents that the dictionaries
@@ -38,8 +38,8 @@ WINDOW_WORDS = 1
 LEVELS = (5, 6, 7, 8, 10)
 #: A marked word is in this share of toxic documents and that many times likelier there.
 SUPPORT, LIKELIER = 0.01, 8
-ORDINARY_BYTES, TOXIC_BYTES, TRAIN_WINDOWS, TRAIN_WORDS = 16_384, 4_096, 40_000, 6
-MAX_WINDOWS = 300_000
+ORDINARY_BYTES, TOXIC_BYTES = 49_152, 4_096
+MAX_WINDOWS = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _shuffled = random.Random(17)
 SUBSTITUTES = [bytes(_shuffled.sample(range(256), 256)) for _ in range(3)]
@@ -129,18 +129,20 @@ def marked(toxic: list[str], ordinary: list[str]) -> dict[str, int]:
     for x in toxic:
         t.update(set(LETTERS.findall(x.lower())))
     for x in ordinary:
-        o.update(set(LETTERS.findall(x.lower())))
-    least = max(5, SUPPORT * len(toxic))
+        o.update(set(LETTERS.findall(x.lower())) & t.keys())
+    least = max(4, SUPPORT * len(toxic))
     return {w: n for w, n in sorted(t.items()) if n >= least and n / len(toxic) > LIKELIER * (o[w] + 0.5) / len(ordinary)}
 
 
-def content(size: int, samples: list[bytes]) -> bytes:
-    """The text that a dictionary trained on the samples would hold; the samples themselves if they fit."""
-    if sum(map(len, samples)) <= size or len(samples) < 16:
-        return b"".join(samples)[-size:]
-    raw = zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
-    head = raw.find(bytes([8, 0, 0, 0]), 8)  # the last of the three repeat offsets before the content
-    return raw[head + 4 :] if 0 <= head < 1024 else raw[-size + 1024 :]
+def content(size: int, held: Counter) -> bytes:
+    """A dictionary's text: the windows that most documents hold, the commonest last, where a match costs least."""
+    out, n = [], 0
+    for w, _ in sorted(held.items(), key=lambda x: (-x[1], x[0])):
+        out.append(f" {w} ".encode())
+        n += len(out[-1])
+        if n >= size:
+            break
+    return b"".join(reversed(out))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -164,12 +166,10 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
     calm = Model(b"", b"", (-4.0,) + (0.0,) * (2 * len(LEVELS)))
     if not words:
         return calm
-    draw = random.Random(5)
-    plain = [f" {w} ".encode() for x in learn_o for w in windows(x, TRAIN_WORDS)]
-    draw.shuffle(plain)
-    marks = [f" {w} ".encode() for w, n in words.items() for _ in range(min(n, 64))]
-    draw.shuffle(marks)
-    model = Model(content(ORDINARY_BYTES, plain[:TRAIN_WINDOWS]), content(TOXIC_BYTES, marks), calm.weights)
+    ordinary_windows = Counter()
+    for x in learn_o:
+        ordinary_windows.update(set(windows(x)))
+    model = Model(content(ORDINARY_BYTES, Counter({w: n for w, n in ordinary_windows.items() if n > 2})), content(TOXIC_BYTES, Counter(words)), calm.weights)
     held_t, held_o = part(toxic, True), part(ordinary, True)
     if not held_t or not held_o:
         return calm
