@@ -35,10 +35,10 @@ from ledgerloom.llm.bpe import slices
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
 WINDOW_WORDS = 1
-LEVELS = (5, 6, 7, 8, 10)
+LEVELS = (3, 4, 5, 6, 7, 8, 10)
 #: A marked word is in this share of toxic documents and that many times likelier there.
 SUPPORT, LIKELIER = 0.01, 8
-ORDINARY_BYTES, TOXIC_BYTES = 49_152, 4_096
+ORDINARY_BYTES, TOXIC_BYTES = 98_304, 4_096
 MAX_WINDOWS = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _shuffled = random.Random(17)
@@ -71,7 +71,7 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        settings = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=7, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTULTRA2,
+        settings = zstandard.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=17, search_log=7, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTULTRA2,
                                                        write_content_size=0, write_checksum=0, write_dict_id=0)
         make = lambda raw: zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(widened(raw), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.plain, self.both, self.weights = make(model.ordinary).compress, make(model.ordinary + model.toxic).compress, np.array(model.weights)
