@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, mixing, ngram_join, substring_dedup, token_binary, toxicity
+from ledgerloom.llm import ann, bpe, exact_dedup, license_scan, mixing, ngram_join, substring_dedup, token_binary, toxicity, url_filter
 from ledgerloom.llm.store import fresh_path
 
 
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (url_filter.number(F.col("url")) % 365).alias("fetch_day"))
+    return url_filter.evaluate(captures, url_filter.drawn_changes(pages))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -30,10 +36,19 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.per_document(docs, license_scan.scan(docs))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), all_digests=True)
 
@@ -52,5 +67,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_ngram_jaccard, op5_substring_dedup, op7_exact_dedup, op8_bpe, op9_token_binary, op10_mixing)}
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_ngram_jaccard, op4_ann, op5_substring_dedup, op6_license_scan, op7_exact_dedup, op8_bpe, op9_token_binary, op10_mixing)}
+ORACLES = {"op1_url_filters": url_filter.ORACLE, "op6_license_scan": license_scan.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
