@@ -12,6 +12,10 @@ A compressed window is short, and a match costs about as much as three letters,
 so bytes are first widened to four (each followed by three fixed substitutes):
 a match then costs little beside the letters it stands for.
 
+A window that shares no run of ``GRAM`` bytes with the toxic dictionary beyond
+those that the ordinary one has as well can't be shortened by it; its saving is
+0 and it isn't compressed.  Such runs are looked up for whole columns at once.
+
 Only the fit sees a bounded sample: at most ``MAX_TOXIC`` and ``MAX_ORDINARY``
 labelled documents, the first in order of a hash of their ids.  Scoring is a
 narrow map over whole texts, which compresses each distinct window of a worker once.
@@ -31,10 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import words
 from ledgerloom.llm.bpe import slices
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
-WINDOW_WORDS = 1
+GRAM = 5
 LEVELS = (3, 4, 5, 6, 7, 8, 10)
 #: A marked word is in this share of toxic documents and that many times likelier there.
 SUPPORT, LIKELIER = 0.01, 8
@@ -54,10 +59,17 @@ def widened(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def windows(text: str, size: int = WINDOW_WORDS) -> list[str]:
-    """Runs of ``size`` words of the whole text, in lower case."""
-    ws = text.lower().split()
-    return ws if size == 1 else [" ".join(ws[i : i + size]) for i in range(0, len(ws), size)]
+def windows(text: str) -> list[bytes]:
+    """The words of the whole text in lower case: each is a window, with a blank on both sides."""
+    return text.lower().encode().split()
+
+
+def grams(raw: np.ndarray) -> np.ndarray:
+    """All runs of GRAM bytes as numbers."""
+    out = np.zeros(max(0, len(raw) - GRAM + 1), np.uint64)
+    for i in range(GRAM if len(out) else 0):
+        out = (out << np.uint64(8)) | raw[i : len(raw) - GRAM + 1 + i]
+    return out
 
 
 @dataclass(frozen=True)
@@ -75,27 +87,43 @@ class Scorer:
                                                        write_content_size=0, write_checksum=0, write_dict_id=0)
         make = lambda raw: zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(widened(raw), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.plain, self.both, self.weights = make(model.ordinary).compress, make(model.ordinary + model.toxic).compress, np.array(model.weights)
-        self.known: dict[str, int] = {}
-
-    def savings(self, text: str) -> np.ndarray:
-        ws = windows(text)
-        if len(self.known) > MAX_WINDOWS:
-            self.known.clear()
-        known = self.known
-        for w in set(ws) - known.keys():
-            raw = widened(b" " + w.encode() + b" ")
-            known[w] = len(self.plain(raw)) - len(self.both(raw))
-        return np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-
-    def features(self, text: str) -> list[float]:
-        s = self.savings(text)
-        n = len(s)
-        counts = [int((s >= level).sum()) for level in LEVELS]
-        return [1.0, *(np.log1p(c) for c in counts), *(100 * c / max(n, 50) for c in counts)]
-
-    def score(self, text: str) -> float:
-        z = float(np.dot(self.weights, self.features(text)))
-        return 1 / (1 + np.exp(-min(max(z, -50.0), 50.0)))
+        own = np.concatenate([grams(np.frombuffer(b" " + w + b" ", np.uint8)) for w in model.toxic.split()] or [np.zeros(0, np.uint64)])
+        self.telling = np.setdiff1d(own, grams(np.frombuffer(model.ordinary, np.uint8)))
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.slot(self.telling)] = True
+        self.known: dict[bytes, int] = {}
+
+    @staticmethod
+    def slot(g: np.ndarray) -> np.ndarray:
+        return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+    def saving(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves on a window."""
+        found = self.known.get(window)
+        if found is None:
+            if len(self.known) > MAX_WINDOWS:
+                self.known.clear()
+            raw = widened(b" " + window + b" ")
+            found = self.known[window] = len(self.plain(raw)) - len(self.both(raw))
+        return found
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """A row a text: counts of windows whose saving reaches each level, and their shares."""
+        data, starts, ends, bounds = words.parsed(pa.array([t.lower() + "\n" for t in texts], pa.large_string()))
+        spaced = np.full(len(data) + 2, 32, np.uint8)
+        spaced[1:-1] = np.where(words.BLANK[data], 32, data)
+        g = grams(spaced)
+        at = np.flatnonzero(self.maybe[self.slot(g)])
+        hit = np.unique(np.searchsorted(ends, at[np.isin(g[at], self.telling)], "right"))
+        raw = data.tobytes()
+        savings = np.fromiter((self.saving(raw[a:b]) for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)), np.int64, len(hit))
+        owner = np.searchsorted(bounds[1:], starts[hit], "right")
+        n = np.bincount(np.searchsorted(bounds[1:], starts, "right"), minlength=len(texts))
+        counts = np.stack([np.bincount(owner[savings >= level], minlength=len(texts)) for level in LEVELS], axis=1)
+        return np.hstack([np.ones((len(texts), 1)), np.log1p(counts), 100 * counts / np.maximum(n, 50)[:, None]])
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -50, 50)))
 
 
 @lru_cache(maxsize=2)
@@ -131,14 +159,14 @@ def marked(toxic: list[str], ordinary: list[str]) -> dict[str, int]:
     for x in ordinary:
         o.update(set(LETTERS.findall(x.lower())) & t.keys())
     least = max(4, SUPPORT * len(toxic))
-    return {w: n for w, n in sorted(t.items()) if n >= least and n / len(toxic) > LIKELIER * (o[w] + 0.5) / len(ordinary)}
+    return {w: n for w, n in sorted(t.items()) if len(w.encode()) > 2 and n >= least and n / len(toxic) > LIKELIER * (o[w] + 0.5) / len(ordinary)}
 
 
 def content(size: int, held: Counter) -> bytes:
     """A dictionary's text: the windows that most documents hold, the commonest last, where a match costs least."""
     out, n = [], 0
     for w, _ in sorted(held.items(), key=lambda x: (-x[1], x[0])):
-        out.append(f" {w} ".encode())
+        out.append(b" " + w + b" ")
         n += len(out[-1])
         if n >= size:
             break
@@ -162,19 +190,19 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
     """Train both dictionaries on two thirds of each list and calibrate on the rest; ``share`` is that of toxic rows."""
     part = lambda xs, k: [x for i, x in enumerate(xs) if (i % 3 == 2) == k]
     learn_t, learn_o = apart(part(toxic, False)), apart(part(ordinary, False))
-    words = marked(learn_t, learn_o) if learn_t and learn_o else {}
+    marks = marked(learn_t, learn_o) if learn_t and learn_o else {}
     calm = Model(b"", b"", (-4.0,) + (0.0,) * (2 * len(LEVELS)))
-    if not words:
+    if not marks:
         return calm
     ordinary_windows = Counter()
     for x in learn_o:
         ordinary_windows.update(set(windows(x)))
-    model = Model(content(ORDINARY_BYTES, Counter({w: n for w, n in ordinary_windows.items() if n > 2})), content(TOXIC_BYTES, Counter(words)), calm.weights)
+    model = Model(content(ORDINARY_BYTES, Counter({w: n for w, n in ordinary_windows.items() if n > 2})), content(TOXIC_BYTES, Counter({w.encode(): n for w, n in marks.items()})), calm.weights)
     held_t, held_o = part(toxic, True), part(ordinary, True)
     if not held_t or not held_o:
         return calm
     s = Scorer(model)
-    x = np.array([s.features(t) for t in held_t + held_o])
+    x = s.features(held_t + held_o)
     y = np.array([1.0] * len(held_t) + [0.0] * len(held_o))
     weight = np.where(y > 0, share / len(held_t), (1 - share) / len(held_o)) * len(y)
     return Model(model.ordinary, model.toxic, tuple(logistic(x, y, weight).tolist()))
@@ -208,7 +236,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         s = scorer(model)
         for ids, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.score(t) for t in texts], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(s.scores(texts), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
