@@ -199,6 +199,20 @@ def encode_frame(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+def checked_frame(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, round_trip``: as ``encode_frame``, and whether the ids decode to the very text."""
+
+    def run(batches):
+        bpe = coder(path)
+        for ids, texts in slices(batches):
+            coded = bpe.encode_batch(texts)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in coded], pa.int64()), pa.array(coded, pa.list_(pa.int32())),
+                                              pa.array([bpe.decode(x) == t for x, t in zip(coded, texts, strict=True)], pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def decode_frame(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``doc_id, text`` from an ids column; null ids decode to an empty text."""
 

@@ -22,10 +22,11 @@ def root(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used before."""
+def fresh_path(spark: SparkSession, name: str, purged: bool = True) -> str:
+    """A path below the shared folder that nothing has used before; ``purge`` deletes it unless told not to."""
     path = f"{root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if purged:
+        _written.append(path)
     return path
 
 

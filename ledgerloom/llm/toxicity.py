@@ -12,7 +12,7 @@ A compressed window is short, and a match costs about as much as three letters,
 so bytes are first widened to four (each followed by three fixed substitutes):
 a match then costs little beside the letters it stands for.
 
-A window that shares no run of ``GRAM`` bytes with the toxic dictionary beyond
+A window that shares no run of as many bytes as ``GRAMS`` has with the toxic dictionary beyond
 those that the ordinary one has as well can't be shortened by it; its saving is
 0 and it isn't compressed.  Such runs are looked up for whole columns at once.
 
@@ -39,7 +39,7 @@ from ledgerloom.llm import words
 from ledgerloom.llm.bpe import slices
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
-GRAM = 5
+GRAMS = (5, 7)
 LEVELS = (3, 4, 5, 6, 7, 8, 10)
 #: A marked word is in this share of toxic documents and that many times likelier there.
 SUPPORT, LIKELIER = 0.01, 8
@@ -64,11 +64,11 @@ def windows(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def grams(raw: np.ndarray) -> np.ndarray:
-    """All runs of GRAM bytes as numbers."""
-    out = np.zeros(max(0, len(raw) - GRAM + 1), np.uint64)
-    for i in range(GRAM if len(out) else 0):
-        out = (out << np.uint64(8)) | raw[i : len(raw) - GRAM + 1 + i]
+def grams(raw: np.ndarray, n: int) -> np.ndarray:
+    """All runs of n bytes as numbers."""
+    out = np.zeros(max(0, len(raw) - n + 1), np.uint64)
+    for i in range(n if len(out) else 0):
+        out = (out << np.uint64(8)) | raw[i : len(raw) - n + 1 + i]
     return out
 
 
@@ -87,10 +87,12 @@ class Scorer:
                                                        write_content_size=0, write_checksum=0, write_dict_id=0)
         make = lambda raw: zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(widened(raw), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.plain, self.both, self.weights = make(model.ordinary).compress, make(model.ordinary + model.toxic).compress, np.array(model.weights)
-        own = np.concatenate([grams(np.frombuffer(b" " + w + b" ", np.uint8)) for w in model.toxic.split()] or [np.zeros(0, np.uint64)])
-        self.telling = np.setdiff1d(own, grams(np.frombuffer(model.ordinary, np.uint8)))
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[self.slot(self.telling)] = True
+        self.telling, ordinary = [], np.frombuffer(model.ordinary, np.uint8)
+        for n in GRAMS:
+            own = np.concatenate([grams(np.frombuffer(b" " + w + b" ", np.uint8), n) for w in model.toxic.split()] or [np.zeros(0, np.uint64)])
+            tell, maybe = np.setdiff1d(own, grams(ordinary, n)), np.zeros(1 << 16, bool)
+            maybe[self.slot(tell)] = True
+            self.telling.append((n, tell, maybe))
         self.known: dict[bytes, int] = {}
 
     @staticmethod
@@ -112,15 +114,18 @@ class Scorer:
         data, starts, ends, bounds = words.parsed(pa.array([t.lower() + "\n" for t in texts], pa.large_string()))
         spaced = np.full(len(data) + 2, 32, np.uint8)
         spaced[1:-1] = np.where(words.BLANK[data], 32, data)
-        g = grams(spaced)
-        at = np.flatnonzero(self.maybe[self.slot(g)])
-        hit = np.unique(np.searchsorted(ends, at[np.isin(g[at], self.telling)], "right"))
+        hits = []
+        for n, tell, maybe in self.telling:
+            g = grams(spaced, n)
+            at = np.flatnonzero(maybe[self.slot(g)])
+            hits.append(np.searchsorted(ends, at[np.isin(g[at], tell)], "right"))  # the word behind a run's first byte
+        hit = np.unique(np.concatenate(hits))
         raw = data.tobytes()
         savings = np.fromiter((self.saving(raw[a:b]) for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)), np.int64, len(hit))
         owner = np.searchsorted(bounds[1:], starts[hit], "right")
-        n = np.bincount(np.searchsorted(bounds[1:], starts, "right"), minlength=len(texts))
+        size = np.bincount(np.searchsorted(bounds[1:], starts, "right"), minlength=len(texts))
         counts = np.stack([np.bincount(owner[savings >= level], minlength=len(texts)) for level in LEVELS], axis=1)
-        return np.hstack([np.ones((len(texts), 1)), np.log1p(counts), 100 * counts / np.maximum(n, 50)[:, None]])
+        return np.hstack([np.ones((len(texts), 1)), np.log1p(counts), 100 * counts / np.maximum(size, 50)[:, None]])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -50, 50)))
@@ -240,3 +245,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of a table whose text scores below the threshold, with all their columns; one narrow pass."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        s = scorer(model)
+        for batch in batches:
+            for part in words.text_slices([batch], place):
+                keep = s.scores([t or "" for t in part.column(place).to_pylist()]) < threshold
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
