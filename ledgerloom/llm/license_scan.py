@@ -3,13 +3,17 @@
 Every line of a text, and the text as a whole, is normalised (lower case, runs
 of anything but letters and digits become one blank) and compared with licence
 templates.  Two sets of a and b bigrams reach Dice t only if a lies between
-t / (2 - t) times b and its inverse, so a count of words rules out nearly all
-templates before a bigram is made.  Hits are few; only they are shuffled.
+t / (2 - t) times b and its inverse, so a count of words rules out most
+templates before a bigram is made.  And a text that reaches t with a template
+has at least t / (2 - t) of the template's bigrams: it can't lack all of a few
+words that more than the rest of the bigrams hold.  Texts and lines without any
+such word go first.  Hits are few; only they are shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,17 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(ws, ws[1:])})
 
 
+def telling_words(grams: list[str], percent: int) -> set[str]:
+    """Words of which a text that reaches the threshold has at least one: long ones, of those alike the ones with few vowels, until they hold enough bigrams."""
+    may_lack = len(grams) - -(-len(grams) * percent // (200 - percent))
+    chosen: set[str] = set()
+    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), sum(map(w.count, "aeiouy")), w)):
+        if sum(1 for g in grams if chosen & set(g.split())) > may_lack:
+            break
+        chosen.add(w)
+    return chosen
+
+
 def bigrams(ws: Column) -> Column:
     """Distinct pairs of neighbouring words."""
     return F.array_distinct(F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: F.concat_ws(" ", a, b)))
@@ -55,20 +70,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     grams = [(name, bigrams_of(text)) for name, text in templates]
     low = min(len(g) for _, g in grams) * percent // (200 - percent)
     high = max(len(g) for _, g in grams) * (200 - percent) // percent + 1
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
-    rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
+    telling = sorted(set().union(*(telling_words(g, percent) for _, g in grams)))
+
+    def may_hit(text: Column) -> Column:
+        return reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in telling))
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.where(may_hit(text)).select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("lines"))
     whole = F.when((F.size("lines") > 1) & (F.size("lines") <= high + 1), F.array(F.struct(F.lit(-1).alias("line"), F.array_join("lines", " ").alias("t")))).otherwise(F.array().cast("array<struct<line:int,t:string>>"))
-    units = rows.select("doc_id", F.explode(F.concat(F.transform("lines", lambda t, i: F.struct(i.alias("line"), t.alias("t"))), whole)).alias("u")).select("doc_id", "u.line", "u.t")
+    units = rows.select("doc_id", F.explode(F.concat(F.transform("lines", lambda t, i: F.struct(i.alias("line"), t.alias("t"))), whole)).alias("u")).select("doc_id", "u.line", "u.t").where(may_hit(F.col("t")))
+    # Each explode of one value keeps what stands below from being computed again for every use above.
     ws = F.split(F.trim(F.regexp_replace(F.lower("t"), "[^a-z0-9]+", " ")), " ")
-    units = units.select("doc_id", "line", ws.alias("ws")).where(F.size("ws").between(low + 1, 4 * high)).select("doc_id", "line", bigrams(F.col("ws")).alias("g")).where(F.size("g").between(low, high))
+    units = units.select("doc_id", "line", F.explode(F.array(ws)).alias("ws")).where(F.size("ws").between(low + 1, 4 * high))
+    units = units.select("doc_id", "line", F.explode(F.array(bigrams(F.col("ws")))).alias("g")).where(F.size("g").between(low, high))
     scores = []
     for name, g in grams:
         n = F.size("g")
         fits = (n * (200 - percent) >= percent * len(g)) & (n * percent <= (200 - percent) * len(g))
         both = F.size(F.array_intersect("g", F.array(*map(F.lit, g))))
-        score = F.when(fits, 2.0 * both / (n + len(g)))
+        score = F.when(fits, 2.0 * both / (n + len(g)))  # only texts of a fitting size are compared
         scores.append(F.struct(F.lit(name).alias("license"), F.when(score * 100 >= percent, score).alias("score")))
-    hits = units.select("doc_id", "line", F.filter(F.array(*scores), lambda s: s.score.isNotNull()).alias("s")).where("size(s) > 0").select("doc_id", "line", F.explode("s").alias("s"))
+    hits = units.select("doc_id", "line", F.explode(F.array(*scores)).alias("s")).where("s.score is not null")
     return hits.groupBy("doc_id", "line", F.col("s.license").alias("license")).agg(F.max("s.score").alias("score"))
 
 
