@@ -21,18 +21,19 @@ import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ledgerloom.llm.held import held
+
 #: How the byte-level pre-tokenizer cuts text into words: a fixed value of the tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Entries after which a worker forgets its words (bounds its memory; never a result).
-MAX_WORDS, MAX_PAIRS = 300_000, 1_000_000
-DOCS_AT_ONCE, CHARS_AT_ONCE = 4096, 8_000_000
+MAX_WORDS, MAX_PAIRS = 250_000, 500_000
+DOCS_AT_ONCE, CHARS_AT_ONCE = 4096, 6_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -165,10 +166,9 @@ class TrieBPE:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> TrieBPE:
     gc.disable()  # its tables are large and free of cycles; walking them again and again takes a fifth of the time
-    return TrieBPE(path)
+    return held(TrieBPE, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:

@@ -77,11 +77,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.where(may_hit(text)).select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("lines"))
-    whole = F.when((F.size("lines") > 1) & (F.size("lines") <= high + 1), F.array(F.struct(F.lit(-1).alias("line"), F.array_join("lines", " ").alias("t")))).otherwise(F.array().cast("array<struct<line:int,t:string>>"))
+    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.array_join("lines", " ").alias("t")))).otherwise(F.array().cast("array<struct<line:int,t:string>>"))
     units = rows.select("doc_id", F.explode(F.concat(F.transform("lines", lambda t, i: F.struct(i.alias("line"), t.alias("t"))), whole)).alias("u")).select("doc_id", "u.line", "u.t").where(may_hit(F.col("t")))
     # Each explode of one value keeps what stands below from being computed again for every use above.
     ws = F.split(F.trim(F.regexp_replace(F.lower("t"), "[^a-z0-9]+", " ")), " ")
-    units = units.select("doc_id", "line", F.explode(F.array(ws)).alias("ws")).where(F.size("ws").between(low + 1, 4 * high))
+    units = units.select("doc_id", "line", F.explode(F.array(ws)).alias("ws")).where(F.size("ws") > low)
     units = units.select("doc_id", "line", F.explode(F.array(bigrams(F.col("ws")))).alias("g")).where(F.size("g").between(low, high))
     scores = []
     for name, g in grams:
@@ -104,14 +104,13 @@ def per_document(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> Da
 def oracle(templates=TEMPLATES, percent: int = THRESHOLD_PERCENT) -> str:
     """The query in SQL, templates written in."""
     rows = ", ".join("(%d, '%s', [%s])" % (i, name, ", ".join("'%s'" % g for g in bigrams_of(text))) for i, (name, text) in enumerate(templates))
-    high = max(len(bigrams_of(t)) for _, t in templates) * (200 - percent) // percent + 1
     return rf"""
 WITH t(k, license, tg) AS (VALUES {rows}),
 l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t FROM l
-      UNION ALL SELECT doc_id, -1, array_to_string(ls, ' ') FROM l WHERE len(ls) > 1 AND len(ls) <= {high + 1}),
+      UNION ALL SELECT doc_id, -1, array_to_string(ls, ' ') FROM l WHERE len(ls) > 1),
 w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM u),
-g AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM w WHERE len(ws) BETWEEN 2 AND {4 * high}),
+g AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM w WHERE len(ws) > 1),
 s AS (SELECT doc_id, line, license, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS score
       FROM g JOIN t ON len(g) * {200 - percent} >= {percent} * len(tg) AND len(g) * {percent} <= {200 - percent} * len(tg)),
 h AS (SELECT doc_id, line, license, max(score) AS score FROM s WHERE score * 100 >= {percent} GROUP BY ALL),

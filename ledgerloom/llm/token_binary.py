@@ -25,7 +25,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words
+from ledgerloom.llm.held import held
 
 SCALE, LOW = 20, 31  # bits of the frequency scale; a state lies in [2**LOW, 2**(LOW + 32))
 BLOCK, LANES, FRAME = 1 << 20, 4096, 1 << 22
@@ -203,9 +203,8 @@ class WordTokenizer:
         self.tokens = np.concatenate([self.tokens, *ids])
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return held(WordTokenizer, path)
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -27,7 +27,6 @@ import random
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words
-from ledgerloom.llm.bpe import slices
+from ledgerloom.llm.held import held
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
 GRAMS = (5, 7)
@@ -44,7 +43,7 @@ LEVELS = (3, 4, 5, 6, 7, 8, 10)
 #: A marked word is in this share of toxic documents and that many times likelier there.
 SUPPORT, LIKELIER = 0.01, 8
 ORDINARY_BYTES, TOXIC_BYTES = 98_304, 4_096
-MAX_WINDOWS = 500_000
+MAX_WINDOWS, TEXT_AT_ONCE = 200_000, 2 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 _shuffled = random.Random(17)
 SUBSTITUTES = [bytes(_shuffled.sample(range(256), 256)) for _ in range(3)]
@@ -131,9 +130,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -50, 50)))
 
 
-@lru_cache(maxsize=2)
 def scorer(model: Model) -> Scorer:
-    return Scorer(model)
+    return held(Scorer, model)
 
 
 def apart(texts: list[str]) -> list[str]:
@@ -207,7 +205,7 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
     if not held_t or not held_o:
         return calm
     s = Scorer(model)
-    x = s.features(held_t + held_o)
+    x = np.vstack([s.features((held_t + held_o)[i : i + 200]) for i in range(0, len(held_t + held_o), 200)])
     y = np.array([1.0] * len(held_t) + [0.0] * len(held_o))
     weight = np.where(y > 0, share / len(held_t), (1 - share) / len(held_o)) * len(y)
     return Model(model.ordinary, model.toxic, tuple(logistic(x, y, weight).tolist()))
@@ -240,8 +238,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         s = scorer(model)
-        for ids, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(s.scores(texts), pa.float64())], ["doc_id", "score"])
+        for batch in words.text_slices(batches, 1, TEXT_AT_ONCE):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.scores([t or "" for t in batch.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -254,7 +252,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str
     def run(batches):
         s = scorer(model)
         for batch in batches:
-            for part in words.text_slices([batch], place):
+            for part in words.text_slices([batch], place, TEXT_AT_ONCE):
                 keep = s.scores([t or "" for t in part.column(place).to_pylist()]) < threshold
                 yield part.filter(pa.array(keep))
 

@@ -102,7 +102,7 @@ def hashed(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return span_hashes(data, starts, ends, lower), np.searchsorted(starts, bounds)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut to some bytes of text each; a longer text comes alone."""
     for batch in batches:
         if batch.column(text).nbytes <= most:
