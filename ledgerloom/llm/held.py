@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[Any, Any] = {}
 
 
@@ -20,3 +23,11 @@ def held(make: Callable[[Any], Any], key: Any) -> Any:
         gc.collect()
         _held[at] = make(key)
     return _held[at]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers share their machine with the JVM and with each other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

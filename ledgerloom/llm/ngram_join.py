@@ -61,6 +61,13 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), ends
 
 
+def sets_in_slices(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, but with no more than a slice of the texts at a time besides the sets."""
+    got = [shingle_sets(part.column(0), n) for part in words.text_slices([pa.record_batch([column], ["t"])], 0)]
+    sizes = np.concatenate([np.diff(at) for _, at in got])
+    return np.concatenate([s for s, _ in got]), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def group_of(s: np.ndarray) -> np.ndarray:
     return (s >> U(40)) % U(GROUPS)
 
@@ -240,7 +247,7 @@ def home_links(homes: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches):
         for group in by_key(batches):
             nodes = group.column("node").to_numpy()
-            s, at = shingle_sets(group.column("text").combine_chunks(), n)
+            s, at = sets_in_slices(group.column("text").combine_chunks(), n)
             vectors = count_vectors(s, at)
             tree = CountTree(vectors, np.diff(at))
             root = list(range(len(nodes)))
@@ -296,9 +303,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for part in words.text_slices([batch], 2, 8 << 20):
+            for part in words.text_slices([batch], 2):
                 s, p = shingle_sets(part.column(2), n)
-                t, q = shingle_sets(part.column(3), n)
+                t, q = sets_in_slices(part.column(3), n)
                 keep = pa.array([linked(s[p[i] : p[i + 1]], t[q[i] : q[i + 1]], percent) for i in range(part.num_rows)], pa.bool_())
                 yield part.select([0, 1]).filter(keep)
 

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerloom.llm.held import give_back
+
 PIECE = 1 << 20
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -102,9 +104,10 @@ def hashed(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return span_hashes(data, starts, ends, lower), np.searchsorted(starts, bounds)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut to some bytes of text each; a longer text comes alone."""
     for batch in batches:
+        give_back()
         if batch.column(text).nbytes <= most:
             yield batch
             continue
@@ -115,6 +118,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 8
             end = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def runs(h: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
