@@ -6,11 +6,14 @@ broadcast hint: Spark broadcasts a side when its measured size allows it."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.fill import backward, forward
 from ledgerloom.operators.numbering import dense_key
+from ledgerloom.plans.lazy import Tables
 
 
 def date_range(heads: DataFrame, lines: DataFrame) -> DataFrame:
@@ -115,17 +118,19 @@ def fact_balance(dates: DataFrame, accounts: DataFrame, days: DataFrame) -> Data
         F.coalesce("movement", F.lit(0.0)).alias("movement"), F.coalesce(early | late, F.lit(False)).cast("long").alias("outside_date"))
 
 
-def build(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def build(raw: Mapping[str, DataFrame]) -> Tables:
     """All five tables of the mart from the raw tables."""
     heads, lines = raw["statement_heads"], raw["statement_lines"]
-    out = {"DimDate": dim_date(heads, lines), "DimAccount": dim_account(heads)}
-    out["DimStatement"] = dim_statement(heads, raw["batch_lines"], out["DimAccount"])
-    out["FactTransaction"] = fact_transaction(lines, out["DimStatement"], out["DimDate"])
-    out["FactBalance"] = fact_balance(out["DimDate"], out["DimAccount"], daily(out["FactTransaction"], lines))
-    return out
+    return Tables({
+        "DimDate": lambda m: dim_date(heads, lines),
+        "DimAccount": lambda m: dim_account(heads),
+        "DimStatement": lambda m: dim_statement(heads, raw["batch_lines"], m["DimAccount"]),
+        "FactTransaction": lambda m: fact_transaction(lines, m["DimStatement"], m["DimDate"]),
+        "FactBalance": lambda m: fact_balance(m["DimDate"], m["DimAccount"], daily(m["FactTransaction"], lines)),
+    })
 
 
-def save(mart: dict[str, DataFrame], database: str = "default") -> None:
+def save(mart: Mapping[str, DataFrame], database: str = "default") -> None:
     """Write the mart as tables in order of dependence, facts sorted for the account scans that read them."""
     for name, df in mart.items():
         df.write.mode("overwrite").saveAsTable(f"{database}.{name}")

@@ -38,9 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def of_mart(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = ledger(spark, sf_dir)
-    m = mart.build(raw)
-    return (m | views.build(m, raw))[name]
+    return parts(spark, sf_dir)[1][name]
 
 
 for key, name in (("dim_date", "DimDate"), ("dim_account", "DimAccount"), ("dim_statement", "DimStatement"), ("fact_transaction", "FactTransaction"), ("fact_balance", "FactBalance"),
@@ -54,7 +52,8 @@ def parts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[
     """Raw tables, and the mart with its views."""
     raw = ledger(spark, sf_dir)
     m = mart.build(raw)
-    return raw, m | views.build(m, raw)
+    v = views.build(m, raw)
+    return raw, m.with_more({n: lambda _, n=n: v[n] for n in v})
 
 
 # Steps of the mart as queries of their own
@@ -107,13 +106,13 @@ def gaps_only(spark, sf_dir):
 
 @query(over_ledger("SELECT * FROM flat_transaction_batch WHERE batch_id = 'BX'"))
 def report_of_batch(spark, sf_dir):
-    reports.register(parts(spark, sf_dir)[1])
+    reports.register({"FlatTransactionBatch": parts(spark, sf_dir)[1]["FlatTransactionBatch"]})
     return reports.scan(spark, "FlatTransaction", "BX")
 
 
 @query(over_ledger("SELECT * FROM dim_statement"))
 def report_scan(spark, sf_dir):
-    reports.register(parts(spark, sf_dir)[1])
+    reports.register({"DimStatement": parts(spark, sf_dir)[1]["DimStatement"]})
     return reports.scan(spark, "DimStatement")
 
 

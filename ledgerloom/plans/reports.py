@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ def checked(name: str, allowed: frozenset[str] = TABLES) -> str:
     return name
 
 
-def register(tables: dict[str, DataFrame]) -> None:
+def register(tables: Mapping[str, DataFrame]) -> None:
     """Make mart tables and views readable by name."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
@@ -45,7 +47,7 @@ def collection(spark: SparkSession, preset: str, batch: str | None = None) -> di
     return {n: scan(spark, n, batch if n in BATCHED else None) for n in names}
 
 
-def counts(tables: dict[str, DataFrame]) -> DataFrame:
+def counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows of each table."""
     out = None
     for name, df in sorted(tables.items()):

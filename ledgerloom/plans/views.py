@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.lazy import Tables
+
 DESC_CHARS = 25
 
 
@@ -74,13 +78,21 @@ def flat_transaction_batch(facts: DataFrame, statements: DataFrame, accounts: Da
                        F.col("transaction_type").alias("type"), "transaction_desc", F.substring("transaction_desc", 1, DESC_CHARS).alias("short_desc"), "value_in", "value_out", "value")
 
 
-def build(m: dict[str, DataFrame], raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+#: The views by name, each from the tables and views before it; raw tables are among the tables.
+MAKERS = {
+    "FlatTransaction": flat_transaction,
+    "GapReport": lambda t: gap_report(t["statement_heads"]),
+    "DimStatementBatch": lambda t: dim_statement_batch(t, t["batch_lines"]),
+    "FactTransactionBatch": lambda t: fact_transaction_batch(t, t["DimStatementBatch"]),
+    "DimAccountBatch": lambda t: dim_account_batch(t, t["DimStatementBatch"]),
+    "DimDateBatch": lambda t: dim_date_batch(t, batch_ranges(t, t["DimStatementBatch"])),
+    "FactBalanceBatch": lambda t: fact_balance_batch(t, t["DimAccountBatch"], t["DimDateBatch"]),
+    "FlatTransactionBatch": lambda t: flat_transaction_batch(t["FactTransactionBatch"], t["DimStatementBatch"], t["DimAccountBatch"]),
+}
+
+
+def build(m: Mapping[str, DataFrame], raw: Mapping[str, DataFrame]) -> Tables:
     """All eight views by name."""
-    out = {"FlatTransaction": flat_transaction(m), "GapReport": gap_report(raw["statement_heads"])}
-    s = out["DimStatementBatch"] = dim_statement_batch(m, raw["batch_lines"])
-    f = out["FactTransactionBatch"] = fact_transaction_batch(m, s)
-    a = out["DimAccountBatch"] = dim_account_batch(m, s)
-    d = out["DimDateBatch"] = dim_date_batch(m, batch_ranges(m, s))
-    out["FactBalanceBatch"] = fact_balance_batch(m, a, d)
-    out["FlatTransactionBatch"] = flat_transaction_batch(f, s, a)
-    return out
+    known = {n: lambda t, df=df: df for n, df in raw.items()}
+    tables = m.with_more(known | MAKERS) if isinstance(m, Tables) else Tables(known | {n: lambda t, df=df: df for n, df in m.items()} | MAKERS)
+    return Tables({n: lambda _, n=n: tables[n] for n in MAKERS})

@@ -65,3 +65,10 @@ def test_standard_fields(spark):
     with pytest.raises(standard.ConfigError):
         standard.map_fields(df, [Std("V", vital=True)], "x", ["s"], ["row"])
     assert standard.spark_format("%d/%m/%Y") == "dd/MM/yyyy" and standard.spark_format("%-d of %b") == "d 'of' MMM"
+
+
+def test_statement_identity(spark):
+    import hashlib
+
+    got = standard.ids(spark.createDataFrame([("page é",), ("",), (None,)], "first_page string")).collect()
+    assert [r.ID_STATEMENT for r in got] == [hashlib.sha512("page é".encode()).hexdigest(), hashlib.sha512(b"").hexdigest(), None]

@@ -64,7 +64,7 @@ def test_views_and_scans(spark, made):
     assert v["FlatTransaction"].count() == m["FactTransaction"].count() == v["FactTransactionBatch"].count()
     first = v["GapReport"].collect()
     assert {r.gap_flag for r in first} <= {"", "GAP"} and sum(r.gap_flag == "" for r in first) >= 1
-    reports.register(m | v)
+    reports.register(m | dict(v))
     assert reports.scan(spark, "DimStatement", "BT001").count() == 6 and reports.counts(reports.collection(spark, "multi")).count() == 6
     with pytest.raises(ValueError):
         reports.scan(spark, "DimDate; DROP TABLE x")
