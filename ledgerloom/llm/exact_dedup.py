@@ -59,12 +59,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored, whatever their names.
     """
     rows = stored(facts(docs, id_col, text_col, digest=all_digests), "exact_facts")
-    by_length = rows.groupBy("norm_bytes").agg(F.count("*").alias("n")).where("n > 1").select("norm_bytes")
-    by_prefix = (
-        rows.select("norm_bytes", "prefix_hash")
-        .join(by_length, "norm_bytes", "left_semi")
-        .groupBy("norm_bytes", "prefix_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    )
+    shapes = rows.groupBy("norm_bytes", "prefix_hash").agg(F.count("*").alias("n"))  # combined where the rows lie: a group of copies is one row
+    by_length = shapes.groupBy("norm_bytes").agg(F.sum("n").alias("total")).where("total > 1").select("norm_bytes")
+    by_prefix = shapes.join(by_length, "norm_bytes", "left_semi").where("n > 1").drop("n")
     if all_digests:
         survivors = rows.join(by_prefix, ["norm_bytes", "prefix_hash"], "left_semi")
         full = rows

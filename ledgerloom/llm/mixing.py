@@ -88,7 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
     goal = plan.withColumnRenamed("source", "g_source")
-    placed = placed.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("g_source")))
+    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("g_source")))
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("ahead")))
     return placed.select("doc_id", "source", "size", "source_size", "target",
                          (F.col("full_epochs") * F.col("size") + cut).cast("long").alias("taken"))
