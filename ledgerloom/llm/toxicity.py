@@ -12,9 +12,8 @@ A compressed window is short, and a match costs about as much as three letters,
 so bytes are first widened to four (each followed by three fixed substitutes):
 a match then costs little beside the letters it stands for.
 
-A window that shares no run of as many bytes as ``GRAMS`` has with the toxic dictionary beyond
-those that the ordinary one has as well can't be shortened by it; its saving is
-0 and it isn't compressed.  Such runs are looked up for whole columns at once.
+Every window is compressed: runs that only the toxic dictionary has don't tell
+which windows it shortens, as the two parses differ in other ways as well.
 
 Only the fit sees a bounded sample: at most ``MAX_TOXIC`` and ``MAX_ORDINARY``
 labelled documents, the first in order of a hash of their ids.  Scoring is a
@@ -38,7 +37,6 @@ from ledgerloom.llm import words
 from ledgerloom.llm.held import held
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
-GRAMS = (5, 7)
 LEVELS = (3, 4, 5, 6, 7, 8, 10)
 #: A marked word is in this share of toxic documents and that many times likelier there.
 SUPPORT, LIKELIER = 0.01, 8
@@ -63,14 +61,6 @@ def windows(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def grams(raw: np.ndarray, n: int) -> np.ndarray:
-    """All runs of n bytes as numbers."""
-    out = np.zeros(max(0, len(raw) - n + 1), np.uint64)
-    for i in range(n if len(out) else 0):
-        out = (out << np.uint64(8)) | raw[i : len(raw) - n + 1 + i]
-    return out
-
-
 @dataclass(frozen=True)
 class Model:
     """What executors need for a score; all of fixed size."""
@@ -86,18 +76,8 @@ class Scorer:
                                                        write_content_size=0, write_checksum=0, write_dict_id=0)
         make = lambda raw: zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(widened(raw), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.plain, self.both, self.weights = make(model.ordinary).compress, make(model.ordinary + model.toxic).compress, np.array(model.weights)
-        self.telling, ordinary = [], np.frombuffer(model.ordinary, np.uint8)
-        for n in GRAMS:
-            own = np.concatenate([grams(np.frombuffer(b" " + w + b" ", np.uint8), n) for w in model.toxic.split()] or [np.zeros(0, np.uint64)])
-            tell, maybe = np.setdiff1d(own, grams(ordinary, n)), np.zeros(1 << 16, bool)
-            maybe[self.slot(tell)] = True
-            self.telling.append((n, tell, maybe))
         self.known: dict[bytes, int] = {}
 
-    @staticmethod
-    def slot(g: np.ndarray) -> np.ndarray:
-        return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-
     def saving(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves on a window."""
         found = self.known.get(window)
@@ -111,18 +91,11 @@ class Scorer:
     def features(self, texts: list[str]) -> np.ndarray:
         """A row a text: counts of windows whose saving reaches each level, and their shares."""
         data, starts, ends, bounds = words.parsed(pa.array([t.lower() + "\n" for t in texts], pa.large_string()))
-        spaced = np.full(len(data) + 2, 32, np.uint8)
-        spaced[1:-1] = np.where(words.BLANK[data], 32, data)
-        hits = []
-        for n, tell, maybe in self.telling:
-            g = grams(spaced, n)
-            at = np.flatnonzero(maybe[self.slot(g)])
-            hits.append(np.searchsorted(ends, at[np.isin(g[at], tell)], "right"))  # the word behind a run's first byte
-        hit = np.unique(np.concatenate(hits))
-        raw = data.tobytes()
-        savings = np.fromiter((self.saving(raw[a:b]) for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)), np.int64, len(hit))
-        owner = np.searchsorted(bounds[1:], starts[hit], "right")
-        size = np.bincount(np.searchsorted(bounds[1:], starts, "right"), minlength=len(texts))
+        owner = np.searchsorted(bounds[1:], starts, "right")
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~words.BLANK[data]])]).dictionary_encode()
+        savings = np.array([self.saving(w) for w in column.dictionary.to_pylist()], np.int64)[column.indices.to_numpy()]
+        size = np.bincount(owner, minlength=len(texts))
         counts = np.stack([np.bincount(owner[savings >= level], minlength=len(texts)) for level in LEVELS], axis=1)
         return np.hstack([np.ones((len(texts), 1)), np.log1p(counts), 100 * counts / np.maximum(size, 50)[:, None]])
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -169,3 +170,15 @@ def test_toxicity(spark):
     assert toxicity.train(df, lab) == model
     none = toxicity.train(df, lab.limit(0))
     assert toxicity.score(df, none).where("score >= 0.3").count() == 0 and toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_toxicity_counts_every_window():
+    """Savings of a text's words are those of compressing every word, whatever runs ordinary words hold."""
+    ordinary = toxicity.content(10_000, Counter({w.encode(): 3 for w in "hello shell hellish shelling calm day".split()}))
+    s = toxicity.Scorer(toxicity.Model(ordinary, b" hell  vilewretch ", (0.0,) * 15))
+    assert s.saving(b"hell") >= toxicity.LEVELS[0]
+    texts = ["hell", "calm day", "", "go to hell\nhello\tHELL vilewretched ééé " * 3, "shell"]
+    for t, row in zip(texts, s.features(texts), strict=True):
+        savings = [s.saving(w) for w in toxicity.windows(t)]
+        counts = [sum(x >= level for x in savings) for level in toxicity.LEVELS]
+        assert np.allclose(row, [1, *np.log1p(counts), *(100 * c / max(len(savings), 50) for c in counts)])
