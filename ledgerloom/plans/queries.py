@@ -260,7 +260,7 @@ def scope_failures(spark, sf_dir):
 
 @query(r"SELECT page_id AS doc_id, nullif(regexp_extract(html, '<title>[^<]{1,20}', 0), '') AS found FROM pages")
 def region_search(spark, sf_dir):
-    return search(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"), "html", "<title>[^<]{1,20}", "found").drop("html")
+    return search(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"), "html", "<title>[^<]+", "found").drop("html")
 
 
 @query(r"""SELECT doc_id, CAST(ord - 1 AS BIGINT) AS row, split_part(line, ' ', 1) AS first_word FROM (
@@ -296,7 +296,7 @@ def statement_ids(spark, sf_dir):
 def turns(spark, sf_dir) -> DataFrame:
     """Turns as field records: the user's text, the answer and a note, by the role that speaks."""
     c = table(spark, sf_dir, "conversations")
-    v = F.nullif(F.substring("text", 1, 40), F.lit(""))
+    v = F.nullif("text", F.lit(""))
     return c.select("conv_id", F.lit(1).alias("page"), F.col("turn").alias("row"), F.when(F.col("role") == "user", "ask").when(F.col("role") == "assistant", "answer").otherwise("note").alias("field"), v.alias("value"), v.isNotNull().alias("success"))
 
 
