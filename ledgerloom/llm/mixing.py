@@ -94,14 +94,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
                          (F.col("full_epochs") * F.col("size") + cut).cast("long").alias("taken"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document as often as its taken words fill it, the cut one rounded.
-
-    Documents without words take no space in the mix and are left out."""
-    times = mixed.where("size > 0").select(
-        F.col("doc_id").alias("__id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times")).where("__times > 0").dropDuplicates(["__id"])
-    out = docs.join(times, F.col(id_col) == F.col("__id"))
-    return out.select("*", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__epoch")).drop("__id", "__times", "__epoch")
+def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: each row as often as its own taken words fill it, the cut one rounded.
+
+    A row finds its row of ``mixed`` by id, source and size, nulls alike.  Rows that
+    share all three are told apart by nothing in the mix; they take the values
+    there one each, the largest first, in order of text.  Rows without words take
+    no space in the mix and are left out."""
+    named = lambda i, s, n: F.to_json(F.struct(i.alias("i"), s.cast("string").alias("s"), n.alias("n")))
+    times = mixed.where("size > 0").select(named(F.col("doc_id"), F.col("source"), F.col("size")).alias("__row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__t"))
+    times = times.groupBy(F.col("__row").alias("__of")).agg(F.sort_array(F.collect_list("__t"), False).alias("__times"))
+    rows = docs.withColumn("__row", named(F.col(id_col), F.col(source_col), word_count(F.col(text_col))))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(text_col)))
+    out = rows.join(times, F.col("__row") == F.col("__of")).withColumn("__times", F.get("__times", F.col("__n") - 1)).where("__times > 0")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__epoch")).drop("__epoch")
 
 
 ORACLE = r"""

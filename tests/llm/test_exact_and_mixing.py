@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 from fractions import Fraction
 
 import duckdb
@@ -55,6 +56,26 @@ def test_mixing(spark):
     assert again.columns == frame(spark, rows).columns and again.count() > 0
 
 
+def test_repeated_null_and_shared_ids(spark):
+    """Every row comes as often as its own share of the mix says, also with a null id or one that others have."""
+    rows = [(None, "n " * 40, "s"), (None, "m " * 30, "s"), (None, "o " * 50, None), (1, "a " * 60, "s"), (1, "b " * 20, "t"), (1, "c " * 20, "t"), (1, "c " * 20, "t"), (2, "", "t"), (None, None, "t"), (3, "e " * 10, "t")]
+    docs = frame(spark, rows)
+    for budget in (None, 100, 1000):
+        mixed = mixing.mix(docs, budget=budget)
+        want = Counter()
+        for r in mixed.collect():
+            if r.size:
+                want[r.doc_id, r.source, r.size] += int(r.taken / r.size + 0.5)
+        out = mixing.repeated(docs, mixed)
+        assert out.columns == docs.columns
+        times = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+        got = Counter()
+        for (i, t, source), n in times.items():
+            got[i, source, len(t.split())] += n
+        assert got == +want
+    assert times == {row: 3 * n for row, n in Counter(rows).items() if row[1]}  # 1000 words are above all caps
+
+
 def test_url_filter(spark):
     changes = [("bad.example", 10, "add"), ("bad.example", 20, "remove"), ("bad.example", 30, "add"), ("ok.example/x/y", 5, "add"), ("both.example", 5, "remove"), ("both.example", 5, "add"), (None, 1, "add"), ("bad.example", 12, "add"), ("z.example", 3, "?")]
     urls = ["http://www.bad.example/a", "https://sub.bad.example:80/q?x", "http://bad.example", "http://ok.example/x/y/z", "http://ok.example/x/yy", "http://user@both.example./", None, "no url", "http://notbad.example/", "http://ok.example/x/y/#f"]
