@@ -34,7 +34,7 @@ class Link:
     key: str
 
 
-#: The links between raw tables, and the order in which rows may be deleted.
+#: The links between raw tables.
 LINKS = (
     Link("checks_and_balances", "ID_BATCHLINE", "batch_lines", "ID_BATCHLINE"),
     Link("checks_and_balances", "ID_BATCH", "batch_heads", "ID_BATCH"),
@@ -43,7 +43,6 @@ LINKS = (
     Link("batch_lines", "ID_BATCH", "batch_heads", "ID_BATCH"),
 )
 PARENTS_FIRST = ("batch_heads", "batch_lines", "statement_heads", "statement_lines", "checks_and_balances")
-DELETE_ORDER = ("checks_and_balances", "statement_lines", "batch_lines", "statement_heads", "batch_heads")
 
 
 def orphans(raw: dict[str, DataFrame], link: Link) -> DataFrame:
@@ -78,7 +77,6 @@ def cleaned(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     for name in PARENTS_FIRST:
         for x in LINKS:
             if x.table == name and name in out and x.parent in out:
-                parents = out[x.parent].select(F.col(x.key).alias(x.column)).distinct()
-                keep = out[name].where(F.col(x.column).isNull())
-                out[name] = out[name].join(parents, x.column, "left_semi").unionByName(keep)
+                parents = out[x.parent].select(F.col(x.key).alias(x.column)).distinct().withColumn("__known", F.lit(True))
+                out[name] = out[name].join(parents, x.column, "left").where(F.col("__known") | F.col(x.column).isNull()).select(*out[name].columns)
     return out

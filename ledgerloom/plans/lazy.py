@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 
 
 class Tables(Mapping):
-    """A mapping from names to DataFrames; each maker gets the mapping itself and runs once."""
+    """A mapping from names to DataFrames; each maker gets the mapping itself and runs once.
 
-    def __init__(self, makers: dict[str, Callable[[Tables], DataFrame]]):
-        self._makers, self._made = makers, {}
+    Steps between are found by name too, but aren't counted among the tables."""
+
+    def __init__(self, makers: dict[str, Callable[[Tables], DataFrame]], between: dict[str, Callable[[Tables], DataFrame]] | None = None):
+        self._makers, self._between, self._made = makers, between or {}, {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._makers[name](self)
+            self._made[name] = (self._makers.get(name) or self._between[name])(self)
         return self._made[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -26,6 +28,6 @@ class Tables(Mapping):
 
     def with_more(self, makers: dict[str, Callable[[Tables], DataFrame]]) -> Tables:
         """These tables and more, which may use them."""
-        out = Tables(self._makers | makers)
+        out = Tables(self._makers | makers, self._between)
         out._made = dict(self._made)
         return out

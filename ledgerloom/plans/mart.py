@@ -1,20 +1,24 @@
 """The star schema: calendar, accounts, statements, transactions and the dense daily balance.
 
-Every function maps DataFrames to a lazy DataFrame.  Money is decimal until the
+Every function maps DataFrames to a DataFrame.  Money is decimal until the
 last cast to double, windows have total orders, and dimensions carry no
-broadcast hint: Spark broadcasts a side when its measured size allows it."""
+broadcast hint: Spark broadcasts a side when its measured size allows it.
+``build`` keeps each table once it is made; the next ones scan it."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.fill import backward, forward
 from ledgerloom.operators.numbering import dense_key
+from ledgerloom.plans.kept import Keeper
 from ledgerloom.plans.lazy import Tables
 
+Keep = Callable[[Callable[[], DataFrame]], DataFrame]
+
 
 def date_range(heads: DataFrame, lines: DataFrame) -> DataFrame:
     """First transaction date and last statement date over lines that have a statement."""
@@ -48,16 +52,16 @@ def dim_date(heads: DataFrame, lines: DataFrame) -> DataFrame:
     return calendar_columns(days.select((F.datediff("id_date", "lo") + 1).cast("long").alias("date_int"), "id_date"))
 
 
-def dim_account(heads: DataFrame) -> DataFrame:
+def dim_account(heads: DataFrame, keep: Keep) -> DataFrame:
     """The latest statement's details of each account; ties go to the larger statement id."""
     latest = Window.partitionBy("ID_ACCOUNT").orderBy(F.desc("STD_STATEMENT_DATE"), F.desc("ID_STATEMENT"))
     top = heads.where("ID_ACCOUNT is not null").withColumn("rn", F.row_number().over(latest)).where("rn = 1")
     rows = top.select(F.col("ID_ACCOUNT").alias("id_account"), F.col("STD_COMPANY").alias("company"), F.col("STD_ACCOUNT").alias("account_type"), F.col("STD_ACCOUNT_NUMBER").alias("account_number"),
                       F.col("STD_SORTCODE").alias("sortcode"), F.col("STD_ACCOUNT_HOLDER").alias("account_holder"), F.col("STD_CURRENCY").alias("currency"))
-    return dense_key(rows, "account_int", "id_account", F.substring("id_account", 1, 4)).select("account_int", *rows.columns)
+    return dense_key(rows, "account_int", "id_account", keep).select("account_int", *rows.columns)
 
 
-def dim_statement(heads: DataFrame, batch_lines: DataFrame, accounts: DataFrame) -> DataFrame:
+def dim_statement(heads: DataFrame, batch_lines: DataFrame, accounts: DataFrame, keep: Keep) -> DataFrame:
     """Statements with the batch line that brought them in."""
     lines = batch_lines.select("ID_BATCHLINE", F.col("ID_BATCH").alias("id_batch"), F.col("STD_FILENAME").alias("filename"), F.col("STD_UPDATETIME").alias("batch_time"))
     rows = heads.join(lines, "ID_BATCHLINE").join(accounts.select(F.col("id_account").alias("account_key"), "account_int"), F.col("ID_ACCOUNT") == F.col("account_key"))
@@ -66,10 +70,10 @@ def dim_statement(heads: DataFrame, batch_lines: DataFrame, accounts: DataFrame)
         F.col("STD_ACCOUNT_NUMBER").alias("account_number"), F.col("STD_SORTCODE").alias("sortcode"), F.col("STD_ACCOUNT_HOLDER").alias("account_holder"), F.col("STD_STATEMENT_DATE").alias("statement_date"),
         *(F.col(f"STD_{c}").cast("double").alias(c.lower()) for c in ("OPENING_BALANCE", "PAYMENTS_IN", "PAYMENTS_OUT", "CLOSING_BALANCE")),
         F.col("STD_STATEMENT_TYPE").alias("statement_type"), F.col("STD_CURRENCY").alias("currency"), "filename", "batch_time")
-    return dense_key(rows, "statement_int", "id_statement", F.substring("id_statement", 1, 4)).select("statement_int", *rows.columns)
+    return dense_key(rows, "statement_int", "id_statement", keep).select("statement_int", *rows.columns)
 
 
-def fact_transaction(lines: DataFrame, statements: DataFrame, dates: DataFrame) -> DataFrame:
+def fact_transaction(lines: DataFrame, statements: DataFrame, dates: DataFrame, keep: Keep) -> DataFrame:
     """Transactions of known statements on days of the calendar; lines on other days are left out."""
     d = dates.select("date_int", "id_date")
     s = statements.select("statement_int", "account_int", "id_account", "id_statement")
@@ -79,7 +83,7 @@ def fact_transaction(lines: DataFrame, statements: DataFrame, dates: DataFrame)
         F.col("ID_TRANSACTION").alias("id_transaction"), "statement_int", "account_int", "date_int", "id_date", "id_account", "id_statement", F.col("STD_TRANSACTION_NUMBER").alias("transaction_number"),
         F.col("STD_CD").alias("transaction_credit_or_debit"), F.col("STD_TRANSACTION_TYPE").alias("transaction_type"), F.col("STD_TRANSACTION_TYPE_CD").alias("transaction_type_cd"),
         F.col("STD_TRANSACTION_DESC").alias("transaction_desc"), F.col("STD_OPENING_BALANCE").cast("double").alias("opening_balance"), pin.alias("value_in"), pout.alias("value_out"), (pin - pout).alias("value"))
-    return dense_key(rows, "transaction_int", "id_transaction", F.substring("id_transaction", 1, 6)).select("transaction_int", *rows.columns)
+    return dense_key(rows, "transaction_int", "id_transaction", keep).select("transaction_int", *rows.columns)
 
 
 def daily(facts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -103,7 +107,8 @@ def fact_balance(dates: DataFrame, accounts: DataFrame, days: DataFrame) -> Data
     transaction.  The grid is made by giving each account the whole calendar as
     one array: a row an account moves, and the product is unfolded where the
     account's window runs.  The array holds one entry a day of the calendar,
-    whatever the number of rows."""
+    whatever the number of rows; it is a table of one row, so the join without
+    a condition below makes one row an account."""
     calendar = dates.agg(F.sort_array(F.collect_list(F.struct("date_int", "id_date"))).alias("calendar"))
     ends = accounts.select("account_int", "id_account").join(bookends(days), "account_int", "left")
     grid = ends.join(calendar).select("account_int", "id_account", "first_did", "last_did", F.explode("calendar").alias("c")).select("*", "c.date_int", "c.id_date").drop("c")
@@ -118,16 +123,18 @@ def fact_balance(dates: DataFrame, accounts: DataFrame, days: DataFrame) -> Data
         F.coalesce("movement", F.lit(0.0)).alias("movement"), F.coalesce(early | late, F.lit(False)).cast("long").alias("outside_date"))
 
 
-def build(raw: Mapping[str, DataFrame]) -> Tables:
-    """All five tables of the mart from the raw tables."""
+def build(raw: Mapping[str, DataFrame], keeper: Keeper | None = None) -> Tables:
+    """All five tables of the mart and the daily totals (``daily``) from the raw tables; each is made and kept when first asked for."""
     heads, lines = raw["statement_heads"], raw["statement_lines"]
+    keeper = keeper or Keeper(heads.sparkSession)
+    under = lambda name: lambda make: keeper(name, make)
     return Tables({
-        "DimDate": lambda m: dim_date(heads, lines),
-        "DimAccount": lambda m: dim_account(heads),
-        "DimStatement": lambda m: dim_statement(heads, raw["batch_lines"], m["DimAccount"]),
-        "FactTransaction": lambda m: fact_transaction(lines, m["DimStatement"], m["DimDate"]),
-        "FactBalance": lambda m: fact_balance(m["DimDate"], m["DimAccount"], daily(m["FactTransaction"], lines)),
-    })
+        "DimDate": lambda m: keeper("DimDate", lambda: dim_date(heads, lines)),
+        "DimAccount": lambda m: dim_account(heads, under("DimAccount")),
+        "DimStatement": lambda m: dim_statement(heads, raw["batch_lines"], m["DimAccount"], under("DimStatement")),
+        "FactTransaction": lambda m: fact_transaction(lines, m["DimStatement"], m["DimDate"], under("FactTransaction")),
+        "FactBalance": lambda m: keeper("FactBalance", lambda: fact_balance(m["DimDate"], m["DimAccount"], m["daily"])),
+    }, {"daily": lambda m: keeper("daily", lambda: daily(m["FactTransaction"], lines))})
 
 
 def save(mart: Mapping[str, DataFrame], database: str = "default") -> None:

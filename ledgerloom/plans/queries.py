@@ -13,9 +13,10 @@ from ledgerloom.operators import checks, keyed, transactions
 from ledgerloom.operators.identify import Probe, identify, locations, search
 from ledgerloom.operators.transactions import Bookend, Rule
 from ledgerloom.plans import export, fx, mart, reports, store, views
-from ledgerloom.plans.oracles import MART, over_ledger
-from ledgerloom.sources import grids
-from ledgerloom.sources.adapters import ledger
+from ledgerloom.plans.kept import Keeper, stamp
+from ledgerloom.plans.lazy import Tables
+from ledgerloom.plans.oracles import over_ledger
+from ledgerloom.sources import adapters, grids
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,11 +49,21 @@ for key, name in (("dim_date", "DimDate"), ("dim_account", "DimAccount"), ("dim_
     ORACLES[key] = over_ledger(f"SELECT * FROM {key}")
 
 
-def parts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+def keeper_of(spark: SparkSession, sf_dir: str) -> Keeper:
+    """Where the ledger of these order tables is kept; other files or newer ones have another place."""
+    return Keeper(spark, stamp(spark, [f"{sf_dir}/{t}.parquet" for t in ("orders", "customer", "nation")]))
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> Tables:
+    return adapters.ledger(spark, sf_dir, keeper_of(spark, sf_dir))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables]:
     """Raw tables, and the mart with its views."""
-    raw = ledger(spark, sf_dir)
-    m = mart.build(raw)
-    v = views.build(m, raw)
+    keeper = keeper_of(spark, sf_dir)
+    raw = adapters.ledger(spark, sf_dir, keeper)
+    m = mart.build(raw, keeper)
+    v = views.build(m, raw, keeper)
     return raw, m.with_more({n: lambda _, n=n: v[n] for n in v})
 
 
@@ -67,14 +78,12 @@ def date_range(spark, sf_dir):
 
 @query(over_ledger("SELECT * FROM daily"))
 def daily_balance(spark, sf_dir):
-    raw, m = parts(spark, sf_dir)
-    return mart.daily(m["FactTransaction"], raw["statement_lines"])
+    return parts(spark, sf_dir)[1]["daily"]
 
 
 @query(over_ledger("SELECT * FROM bookends"))
 def account_bookends(spark, sf_dir):
-    raw, m = parts(spark, sf_dir)
-    return mart.bookends(mart.daily(m["FactTransaction"], raw["statement_lines"]))
+    return mart.bookends(parts(spark, sf_dir)[1]["daily"])
 
 
 @query(over_ledger("SELECT * FROM batch_ranges"))
@@ -85,8 +94,8 @@ def batch_ranges(spark, sf_dir):
 
 @query(over_ledger("SELECT date_int, account_int, CAST(fwd AS BIGINT) AS fwd_group, CAST(bwd AS BIGINT) AS bwd_group FROM grid"))
 def fill_groups(spark, sf_dir):
-    raw, m = parts(spark, sf_dir)
-    known = mart.daily(m["FactTransaction"], raw["statement_lines"]).select("account_int", "date_int", F.lit(1).alias("k"))
+    _, m = parts(spark, sf_dir)
+    known = m["daily"].select("account_int", "date_int", F.lit(1).alias("k"))
     cells = m["FactBalance"].select("account_int", "date_int").join(known, ["account_int", "date_int"], "left")
     w = Window.partitionBy("account_int")
     up, down = w.orderBy("date_int"), w.orderBy(F.desc("date_int"))
@@ -96,7 +105,7 @@ def fill_groups(spark, sf_dir):
 @query(over_ledger(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {t}" for n, t in
                                       (("DimDate", "dim_date"), ("DimAccount", "dim_account"), ("DimStatement", "dim_statement"), ("FactTransaction", "fact_transaction"), ("FactBalance", "fact_balance")))))
 def mart_counts(spark, sf_dir):
-    return reports.counts(mart.build(ledger(spark, sf_dir)))
+    return reports.counts(mart.build(ledger(spark, sf_dir), keeper_of(spark, sf_dir)))
 
 
 @query(over_ledger("SELECT * FROM gap_report WHERE gap_flag = 'GAP'"))
@@ -258,7 +267,7 @@ def scope_failures(spark, sf_dir):
     return fields.scoped(fields.records(rows, ["doc_id"]), "hard_fail").select("doc_id", "error")
 
 
-@query(r"SELECT page_id AS doc_id, nullif(regexp_extract(html, '<title>[^<]{1,20}', 0), '') AS found FROM pages")
+@query(r"SELECT page_id AS doc_id, nullif(regexp_extract(html, '<title>[^<]+', 0), '') AS found FROM pages")
 def region_search(spark, sf_dir):
     return search(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"), "html", "<title>[^<]+", "found").drop("html")
 
@@ -300,7 +309,7 @@ def turns(spark, sf_dir) -> DataFrame:
     return c.select("conv_id", F.lit(1).alias("page"), F.col("turn").alias("row"), F.when(F.col("role") == "user", "ask").when(F.col("role") == "assistant", "answer").otherwise("note").alias("field"), v.alias("value"), v.isNotNull().alias("success"))
 
 
-STITCH_SQL = r"""WITH r AS (SELECT conv_id, turn AS row, CASE role WHEN 'user' THEN 'ask' WHEN 'assistant' THEN 'answer' ELSE 'note' END AS field, nullif(substr(text, 1, 40), '') AS value FROM conversations),
+STITCH_SQL = r"""WITH r AS (SELECT conv_id, turn AS row, CASE role WHEN 'user' THEN 'ask' WHEN 'assistant' THEN 'answer' ELSE 'note' END AS field, nullif(text, '') AS value FROM conversations),
 k AS (SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.conv_id = a.conv_id AND b.row = a.row AND b.field = 'note' AND regexp_matches(b.value, '^The'))),
 f AS (SELECT conv_id, row, max(CASE WHEN field = 'ask' THEN value END) AS ask, max(CASE WHEN field = 'answer' THEN value END) AS answer, max(CASE WHEN field = 'note' THEN value END) AS note,
              bool_or(field = 'ask' AND value IS NOT NULL) AS s, bool_or(field = 'answer' AND value IS NOT NULL) AS e FROM k GROUP BY conv_id, row),
@@ -423,7 +432,7 @@ def batch_commit(spark, sf_dir):
     raw = ledger(spark, sf_dir)
     cab = cab_of(raw)
     results = cab.select("ID_STATEMENT", F.when(F.col("SUCCESS"), "SUCCESS").otherwise("REVIEW").alias("result"))
-    return store.routed(raw | {"results": results, "checks_and_balances": checks.record(cab, raw["batch_lines"])})["statement_heads"].select("ID_STATEMENT", "ID_ACCOUNT")
+    return store.routed({**raw, "results": results, "checks_and_balances": checks.record(cab, raw["batch_lines"])})["statement_heads"].select("ID_STATEMENT", "ID_ACCOUNT")
 
 
 # Exchange rates: working days of the event table, one quote a currency

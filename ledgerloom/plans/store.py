@@ -9,60 +9,74 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.keyed import delete, upsert
+from ledgerloom.plans.kept import hadoop_path
 
-#: The key of each raw table, in order of commit.
+#: The key of each raw table.
 KEYS = {"batch_lines": ["ID_BATCHLINE"], "checks_and_balances": ["ID_CAB"], "statement_heads": ["ID_STATEMENT"], "statement_lines": ["ID_TRANSACTION"], "batch_heads": ["ID_BATCH"]}
 
 
 class Store:
-    """Tables below a folder; each version is a folder of its own, and a small file names the current one.
+    """Tables below a folder; each version of a table is a folder of its own, and a manifest names the current ones.
 
-    A reader never sees a table half written, and a writer that is lost leaves
-    the old version in force."""
+    Manifests are numbered files that are renamed into place, so a change of
+    several tables is seen whole or not at all, a writer that is lost leaves the
+    old state in force, and of two writers at once the second fails."""
 
     def __init__(self, spark: SparkSession, path: str, schemas: dict[str, T.StructType]):
         self.spark, self.path, self.schemas = spark, path.rstrip("/"), schemas
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/current"
-
-    def _version(self, name: str) -> str | None:
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        if not at.getFileSystem(hadoop).exists(at):
-            return None
-        return self.spark.read.text(self._pointer(name)).first()[0]
+    def _manifest(self) -> tuple[int, dict[str, str]]:
+        """Number of the last manifest and the versions that it names."""
+        at, files = hadoop_path(self.spark, self.path)
+        found = files.globStatus(at.suffix("/manifest-*")) if files.exists(at) else None
+        names = sorted(s.getPath().toString() for s in found or ())
+        if not names:
+            return 0, {}
+        return int(names[-1].rsplit("-", 1)[1]), dict(r[0].split(" ", 1) for r in self.spark.read.text(names[-1]).collect())
 
     def read(self, name: str) -> DataFrame:
         """The current version; an empty table if there is none or if its columns aren't the schema's."""
-        version = self._version(name)
+        version = self._manifest()[1].get(name)
         if version:
             df = self.spark.read.parquet(f"{self.path}/{name}/{version}")
             if set(df.columns) == set(self.schemas[name].fieldNames()):
                 return df.select(*self.schemas[name].fieldNames())
         return self.spark.createDataFrame([], self.schemas[name])
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name])).write.parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+    def replace(self, tables: dict[str, DataFrame]) -> None:
+        """Put new versions of some tables in force, all at once."""
+        number, versions = self._manifest()
+        for name, df in tables.items():
+            versions[name] = f"v-{uuid.uuid4().hex}"
+            df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name])).write.parquet(f"{self.path}/{name}/{versions[name]}")
+        draft, files = hadoop_path(self.spark, f"{self.path}/_draft-{uuid.uuid4().hex}")
+        out = files.create(draft)
+        out.write("".join(f"{n} {v}\n" for n, v in sorted(versions.items())).encode())
+        out.close()
+        target, _ = hadoop_path(self.spark, f"{self.path}/manifest-{number + 1:012d}")
+        if files.exists(target) or not files.rename(draft, target):
+            raise RuntimeError(f"{self.path}: another writer came first")
 
     def append(self, name: str, new: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]))))
+        self.replace({name: self.read(name).unionByName(new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name])))})
 
     def update(self, name: str, new: DataFrame) -> None:
-        """Upsert by the table's key; a key twice among the new rows is an error."""
-        if new.isEmpty():
-            return
-        if not new.groupBy(*KEYS[name]).count().where("count > 1").isEmpty():
-            raise ValueError(f"{name}: a key occurs twice in one commit")
-        self.replace(name, upsert(self.read(name), new, KEYS[name]))
+        self.update_all({name: new})
+
+    def update_all(self, tables: dict[str, DataFrame]) -> None:
+        """Upsert rows by each table's key; a key twice among the new rows of a table is an error, and nothing is changed."""
+        tables = {name: new for name, new in tables.items() if not new.isEmpty()}
+        for name, new in tables.items():
+            if not new.groupBy(*KEYS[name]).count().where("count > 1").isEmpty():
+                raise ValueError(f"{name}: a key occurs twice in one commit")
+        if tables:
+            self.replace({name: upsert(self.read(name), new, KEYS[name]) for name, new in tables.items()})
 
     def delete(self, name: str, gone: DataFrame) -> None:
-        self.replace(name, delete(self.read(name), gone, KEYS[name]))
+        self.replace({name: delete(self.read(name), gone, KEYS[name])})
 
     def truncate(self, name: str) -> None:
-        self.replace(name, self.spark.createDataFrame([], self.schemas[name]))
+        self.replace({name: self.spark.createDataFrame([], self.schemas[name])})
 
 
 def routed(batch: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -73,12 +87,11 @@ def routed(batch: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def commit(store: Store, batch: dict[str, DataFrame], rebuild=None) -> bool:
-    """Commit a batch table by table, heads of batches last, and rebuild the mart if any statement came in.
+    """Commit a batch, all tables at once, and rebuild the mart if any statement came in.
 
     A statement without a result is skipped alone; running a commit again changes nothing."""
     parts = routed(batch)
-    for name in KEYS:
-        store.update(name, parts[name])
+    store.update_all({name: parts[name] for name in KEYS})
     came = not parts["statement_heads"].isEmpty()
     if came and rebuild:
         rebuild()

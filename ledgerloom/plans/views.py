@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.kept import Keeper
 from ledgerloom.plans.lazy import Tables
 
 DESC_CHARS = 25
@@ -89,10 +90,14 @@ MAKERS = {
     "FactBalanceBatch": lambda t: fact_balance_batch(t, t["DimAccountBatch"], t["DimDateBatch"]),
     "FlatTransactionBatch": lambda t: flat_transaction_batch(t["FactTransactionBatch"], t["DimStatementBatch"], t["DimAccountBatch"]),
 }
+#: The small views that other views read are kept as tables.
+KEPT = ("DimStatementBatch", "DimAccountBatch", "DimDateBatch")
 
 
-def build(m: Mapping[str, DataFrame], raw: Mapping[str, DataFrame]) -> Tables:
+def build(m: Mapping[str, DataFrame], raw: Mapping[str, DataFrame], keeper: Keeper | None = None) -> Tables:
     """All eight views by name."""
-    known = {n: lambda t, df=df: df for n, df in raw.items()}
-    tables = m.with_more(known | MAKERS) if isinstance(m, Tables) else Tables(known | {n: lambda t, df=df: df for n, df in m.items()} | MAKERS)
+    keeper = keeper or Keeper(raw["statement_heads"].sparkSession)
+    makers = MAKERS | {n: lambda t, n=n: keeper(n, lambda: MAKERS[n](t)) for n in KEPT}
+    known = {n: lambda _, n=n: raw[n] for n in raw}
+    tables = m.with_more(known | makers) if isinstance(m, Tables) else Tables(known | {n: lambda t, df=df: df for n, df in m.items()} | makers)
     return Tables({n: lambda _, n=n: tables[n] for n in MAKERS})

@@ -14,9 +14,14 @@ without description (priority 4), statements processed again in a second batch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable
 
-#: Raw tables in order of dependence; ``{string}`` is the engine's text type.
+from pyspark.sql import SparkSession
+
+from ledgerloom.plans.lazy import Tables
+
+#: Raw tables in order of dependence (statements are at most one a year of an account, so the windows over them are short); ``{string}`` is the engine's text type.
 RAW = {
     "ledger_base": """
 SELECT o_orderkey, c_nationkey AS nk, n_name, c_mktsegment AS seg, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y,
@@ -60,19 +65,23 @@ FROM ledger_statements s JOIN batch_lines b ON b.ID_STATEMENT = s.id_statement A
 }
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The raw tables as lazy DataFrames, by name."""
-    made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
-    for name, text in RAW.items():
+#: The raw tables that others are made of, or whose making shuffles, are kept; the rest are projections.
+KEPT = ("ledger_run", "ledger_statements", "batch_lines", "batch_heads", "statement_heads")
+
+
+def ledger(spark: SparkSession, sf_dir: str, keeper: Callable | None = None) -> Tables:
+    """The raw tables by name, each made when first asked for; with a ``keeper`` those of ``KEPT`` are stored once and scanned."""
+    base = ("orders", "customer", "nation")
+
+    def maker(name: str, text: str):
         text = text.replace("{string}", "STRING").replace("(tn - 1) / 40", "(tn - 1) DIV 40")
-        used = {t: df for t, df in made.items() if t in text}
-        for t in sorted(used, key=len, reverse=True):
-            for word in ("FROM", "JOIN"):
-                text = text.replace(f"{word} {t} ", f"{word} {{{t}}} ").replace(f"{word} {t}\n", f"{word} {{{t}}}\n").replace(f"{word} {t})", f"{word} {{{t}}})")
-            if text.endswith(f" {t}"):
-                text = text[: -len(t)] + f"{{{t}}}"
-        made[name] = spark.sql(text, **{t: df for t, df in used.items() if f"{{{t}}}" in text})
-    return made
+        names = re.compile(rf"(?<=FROM |JOIN )({'|'.join([*base, *RAW])})\b")
+        used, text = set(names.findall(text)), names.sub(r"{\1}", text)
+        plan = lambda t: spark.sql(text, **{u: t[u] for u in used})
+        return (lambda t: keeper(name, lambda: plan(t))) if keeper and name in KEPT else plan
+
+    sources = {t: lambda _, t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in base}
+    return Tables(sources | {name: maker(name, text) for name, text in RAW.items()})
 
 
 def prelude() -> str:
