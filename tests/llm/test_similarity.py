@@ -173,12 +173,15 @@ def test_toxicity(spark):
 
 
 def test_toxicity_counts_every_window():
-    """Savings of a text's words are those of compressing every word, whatever runs ordinary words hold."""
+    """Features are those of compressing every window of the whole text by itself, one call each."""
     ordinary = toxicity.content(10_000, Counter({w.encode(): 3 for w in "hello shell hellish shelling calm day".split()}))
-    s = toxicity.Scorer(toxicity.Model(ordinary, b" hell  vilewretch ", (0.0,) * 15))
-    assert s.saving(b"hell") >= toxicity.LEVELS[0]
-    texts = ["hell", "calm day", "", "go to hell\nhello\tHELL vilewretched ééé " * 3, "shell"]
+    s = toxicity.Scorer(toxicity.Model(ordinary, b" hell  vilewretch  dumbkopf ", (0.0,) * (1 + 2 * len(toxicity.LEVELS))))
+    texts = ["hell", "calm day", "", "go to hell\nhello\tHELL vilewretched ééé " * 30, "shell", " \n", "calm " * 4000 + "dumbkopf", "x" * 300_000 + " vilewretch"]
     for t, row in zip(texts, s.features(texts), strict=True):
-        savings = [s.saving(w) for w in toxicity.windows(t)]
+        low = f" {t.lower()} ".encode()
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", low)]
+        windows = [low[spans[i][0] - 1 : spans[min(i + toxicity.WINDOW, len(spans)) - 1][1] + 1] for i in range(0, len(spans), toxicity.WINDOW)]
+        savings = [len(s.plain.compress(w)) - len(s.both.compress(w)) for w in windows]
         counts = [sum(x >= level for x in savings) for level in toxicity.LEVELS]
-        assert np.allclose(row, [1, *np.log1p(counts), *(100 * c / max(len(savings), 50) for c in counts)])
+        assert np.allclose(row, [1, *np.log1p(counts), *(100 * c / max(len(spans), 50) for c in counts)])
+    assert s.features(["calm " * 4000 + "dumbkopf"])[0][1] > 0
