@@ -98,8 +98,27 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 8: 4, 9: 4} | {i: 100 for i in range(100, 141)}
 
 
-@pytest.mark.parametrize("rows_a_group", [4096, 2])
-def test_substring_dedup(spark, rows_a_group):
+def test_deep_nodes():
+    """Order, shared words and nodes are those of sorting all suffixes."""
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, 3, n).astype(np.uint64) for n in (0, 1, 9, 30, 30, 64)] + [np.tile(np.array([1, 2], np.uint64), 20)]
+    h, begin = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    for window in (1, 4, 7):
+        order, shared, node = substring_dedup.deep_nodes(h, begin, window)
+        suffix = {int(begin[i]) + k: t[k:].tolist() for i, t in enumerate(texts) for k in range(len(t) - window + 1)}
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert sorted(order) == sorted(suffix)
+        most = 1 << int(np.ceil(np.log2(window))) if window > 1 else 1
+        for i, (a, b) in enumerate(zip(order, order[1:])):
+            assert min(shared[i + 1], most) == min(common(suffix[a], suffix[b]), most)
+        tops = {}
+        for p, n in zip(order, node):
+            tops.setdefault(tuple(suffix[p][:window]), set()).add(n)
+        assert all(len(x) == 1 for x in tops.values()) and len(set.union(*tops.values())) == len(tops)
+
+
+@pytest.mark.parametrize("group_words", [1 << 16, 400, 1])
+def test_substring_dedup(spark, group_words):
     rows = corpus(5)
     first, found = {}, [(d, WORDS.findall(t or "")) for d, t in rows]
     for d, ws in found:
@@ -110,7 +129,7 @@ def test_substring_dedup(spark, rows_a_group):
     for d, ws in found:
         gone = {q for p in range(len(ws) - 49) if d is not None and first[tuple(ws[p : p + 50])] < d for q in range(p, p + 50)}
         want.append((d, len(ws), len(gone), hashlib.sha256(" ".join(w for q, w in enumerate(ws) if q not in gone).encode()).hexdigest()))
-    got = substring_dedup.substring_dedup(frame(spark, rows), group_rows=rows_a_group)
+    got = substring_dedup.substring_dedup(frame(spark, rows), group_words=group_words)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and sum(w[2] for w in want) > 500
     assert substring_dedup.substring_dedup(frame(spark, rows[:0])).count() == 0
     kept = substring_dedup.substring_dedup(frame(spark, rows), with_text=True).collect()
