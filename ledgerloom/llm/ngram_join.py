@@ -6,20 +6,29 @@ point.  For two sets the overlap is at most the sum over the groups of the
 smaller count, and for a node of the tree at most that with the node's largest
 counts, so an R-tree over the points leaves few pairs to verify on the sets.
 
-A tree over all points would be one tree for one machine.  Linked sets must
-share one of their first ``n - ceil(t n) + 1`` shingles in any fixed global
-order, so classes first meet by those keys, rare ones first: the order uses
-counts over all documents in a sketch of fixed size.  Keys whose classes are
-the same set collapse to one *meeting*, and a tree is built for each meeting.
-
-Links are found in two steps, so that neither a star nor all pairs of a large
-group are ever made.  (1) Each class goes, with its text, to one meeting, its
-*home*, in cells of ``CELL`` classes; there the tree's pairs are verified until
-the linked ones are connected.  (2) Every meeting whose classes are still in
-different components yields its remaining surviving pairs across components:
-first one for each pair of components, then, where those failed, all others
-not tried.  Each is verified on the whole texts, so no link that would join
-two components is lost.
+No cut of the point space into cells keeps apart what isn't linked: linked
+counts may differ by a fifth of their size in all, and in any few coordinates
+(size, mass of some groups) the counts of unrelated texts differ by less.  A
+tree over all points would be one tree for one machine.  So the points are cut by
+what linked sets must share: one of their first ``n - ceil(t n) + 1`` shingles in
+any fixed global order, rare ones first (the order uses counts over all
+documents in a sketch of fixed size).  Shingles whose classes have the same
+smallest and largest name are one *meeting*, and trees are built over the points
+of a meeting, ``CELL`` at a time.
+
+Links are found in three steps, so that neither a star nor all pairs of a large
+group are made, and no meeting is in one task as a whole.
+
+(1) Each class goes, with its text, to a cell of one meeting, its *home*, where
+the tree's pairs are verified until the linked ones are connected.
+
+(2) Of every meeting whose classes are still in different components, one class
+a component goes to cells again, until a round joins nothing or all of a
+meeting's fit one cell.  Copies of one text, however many, are one after this.
+
+(3) Meetings still apart are dealt as pairs of blocks; the tree's pairs across
+components are listed, a few for each two components at first, then more, and
+verified on whole texts, until none is left that was not tried.
 """
 
 from __future__ import annotations
@@ -36,6 +45,8 @@ from ledgerloom.llm.store import stored
 U = np.uint64
 GROUPS, LEAF, CELL = 512, 32, 512
 SKETCH_BITS = 18
+#: Pairs a round lists for each two components of a block, at first and as factor from round to round.
+FIRST_PAIRS, MORE_PAIRS = 1, 16
 ROWS_AT_ONCE = 100_000
 
 
@@ -206,39 +217,21 @@ def keys(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     return docs.mapInArrow(run, "key long, class long")
 
 
-def whole_keys(batches, key: int = 0):
-    """Batches sorted by a key, cut anew so that no key is in two of them."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-        k = table.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
-        if cut:
-            yield table.slice(0, cut)
-        rest = table.slice(cut).combine_chunks().to_batches()[0]
-    if rest is not None:
-        yield pa.Table.from_batches([rest])
+def meetings(met: DataFrame) -> DataFrame:
+    """``meeting, class`` from ``key, class``: keys whose several classes have the same ends are one meeting.
 
+    The ends of a key are combined where its rows lie; keys of one class have nothing to meet."""
+    ends = met.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key", F.xxhash64("lo", "hi").alias("meeting"))
+    return met.join(ends, "key").select("meeting", "class").distinct()
 
-def meetings(met: DataFrame) -> DataFrame:
-    """``meeting, class`` from ``key, class``: keys of the same several classes are one meeting."""
 
-    def run(batches):
-        for table in whole_keys(batches):
-            k, c = table.column(0).to_numpy(), table.column(1).to_numpy()
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c = k[new], c[new]
-            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(at, len(k)))
-            name = words.mix(np.add.reduceat(words.mix(c.view(np.uint64)), at))
-            keep = np.repeat(size > 1, size)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(c[keep])], ["meeting", "class"])
+def packed(v: np.ndarray) -> bytes:
+    """A point in two bytes a group, or four where a count needs them."""
+    return v.astype("<u2" if v.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
 
-    return met.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "meeting long, class long").distinct()
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
 
 
 def home_links(homes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -266,36 +259,54 @@ def home_links(homes: DataFrame, n: int, percent: int) -> DataFrame:
                     if x != y and linked(get(a), get(b), percent):
                         x, y = (x, y) if nodes[x] <= nodes[y] else (y, x)
                         root[y] = x
-            points = [v.astype("<u4").tobytes() for v in vectors]
+            points = [packed(v) for v in vectors]
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[find(i) for i in range(len(nodes))]]), pa.array(np.diff(at)), pa.array(points, pa.binary())], ["node", "label", "n_shingles", "vector"])
 
     return homes.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "text").mapInArrow(run, "node long, label long, n_shingles long, vector binary")
 
 
-def open_pairs(met: DataFrame, percent: int, every: bool) -> DataFrame:
-    """``a, b``: pairs of a meeting across components that the tree lets through; one for each two components, or ``every`` one."""
+def blocks(met: DataFrame) -> DataFrame:
+    """Rows of meetings dealt to every pair of blocks they belong to: ``pair, own, other`` besides; a block has about ``CELL`` classes."""
+    sizes = met.groupBy("meeting").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+    rows = met.join(sizes, "meeting").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.withColumn("pair", F.xxhash64("meeting", F.least("own", "other"), F.greatest("own", "other"))).drop("n")
+
+
+def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """``a, b``: pairs of a meeting across components that the trees let through and that weren't tried; ``most`` for each two components of two blocks."""
 
     def run(batches):
         for group in by_key(batches):
-            nodes, comp = group.column("node").to_numpy(), group.column("label").to_numpy()
-            vectors = np.stack([np.frombuffer(x, "<u4") for x in group.column("vector").to_pylist()])
+            nodes, comp, own, other = (group.column(c).to_numpy() for c in ("node", "label", "own", "other"))
+            vectors = np.stack([unpacked(x) for x in group.column("vector").to_pylist()])
             tree = CountTree(vectors, group.column("n_shingles").to_numpy())
-            seen, a, b = set(), [], []
+            known = {(n, x) for n, xs in zip(nodes.tolist(), group.column("tried").to_pylist()) for x in xs or ()}
+            apart = bool((own != other).any())  # two blocks: pairs inside one are listed where it meets itself
+            seen, a, b = {}, [], []
             for k in range(len(nodes)):
                 i = tree.order[k]
                 for j in tree.order[tree.after(k, percent)]:
                     two = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                    if two[0] != two[1] and (every or two not in seen):
-                        seen.add(two)
-                        a.append(min(nodes[i], nodes[j])), b.append(max(nodes[i], nodes[j]))
+                    if two[0] == two[1] or (apart and own[i] == own[j]) or seen.get(two, 0) >= most:
+                        continue
+                    low, high = min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+                    if (low, high) not in known:
+                        seen[two] = seen.get(two, 0) + 1
+                        a.append(low), b.append(high)
                 if len(a) > ROWS_AT_ONCE:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                     a, b = [], []
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = met.repartition("meeting").sortWithinPartitions("meeting").select("meeting", "node", "label", "n_shingles", "vector")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = met.join(points, "node")
+    if tried is not None:
+        rows = rows.join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried")), "node", "left")
+    else:
+        rows = rows.withColumn("tried", F.lit(None).cast("array<long>"))
+    rows = blocks(rows).repartition("pair").sortWithinPartitions("pair")
+    return rows.select("pair", "node", "label", "own", "other", "n_shingles", "vector", "tried").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -314,13 +325,35 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def in_cells(meeting: str, size: str, by: str):
+    """The cell of a meeting that a row goes to; cells have about ``CELL`` rows."""
+    return F.xxhash64(meeting, F.pmod(F.xxhash64(by), F.ceil(F.col(size) / CELL)))
+
+
+def still_apart(met: DataFrame, label: DataFrame) -> DataFrame:
+    """``meeting, node, label`` of the meetings whose classes are in several components."""
+    placed = met.join(label, "node")
+    apart = placed.groupBy("meeting").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("meeting")
+    return placed.join(apart, "meeting", "left_semi").select("meeting", "node", "label")
+
+
+def joined_by(label: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """Components after linking nodes ``a, b``, and whether any were joined."""
+    la, lb = label.select(F.col("node").alias("a"), F.col("label").alias("x")), label.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    edges = stored(links.join(la, "a").join(lb, "b").where("x <> y").select("x", "y").distinct(), "ngram_edges")
+    if edges.isEmpty():
+        return label, False
+    merged = labels(edges, "x", "y", "label", "to")
+    return stored(label.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "ngram_labels"), True
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Connected groups of documents under ``100 |A & B| >= percent |A | B|``.
 
     Returns one row per input row: ``doc_id, n_shingles, class, component_id``,
     where ``component_id`` is the smallest id that links lead to, its own
-    included.  Texts without words, null ones too, link with nothing.  Ids are
-    whole numbers; rows of one id count as one document for links; a null id
+    included.  Texts without words, null ones too, link with nothing; a text of
+    any length is worked on whole.  Ids are whole numbers; rows of one id count as one document for links; a null id
     is reached by nothing but an equal set.  Any table size, empty included,
     and further columns of any name will do.
     """
@@ -335,27 +368,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     met = stored(met.join(classes.select("class", "node"), "class").select("meeting", "node").distinct(), "ngram_meetings")
     sizes = met.groupBy("meeting").agg(F.count("*").alias("size"))
     home = met.join(sizes, "meeting").groupBy("node").agg(F.max(F.struct("size", "meeting")).alias("h"))
-    cells = F.ceil(F.col("h.size") / CELL)
-    home = home.select("node", F.xxhash64("h.meeting", F.pmod(F.xxhash64("node"), cells)).alias("cell"))
+    home = home.select("node", in_cells("h.meeting", "h.size", "node").alias("cell"))
     texts = stored(docs.join(home, docs.doc_id == home.node).select("cell", "node", "text"), "ngram_texts")
     points = stored(home_links(texts, n, percent), "ngram_home")
     label = points.groupBy("node").agg(F.min("label").alias("label"))
-    tried = None
-    for every in (False, True):
-        placed = met.join(label, "node")
-        apart = placed.groupBy("meeting").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("meeting")
-        pairs = open_pairs(placed.join(apart, "meeting", "left_semi").join(points.drop("label"), "node"), percent, every)
-        pairs = stored(pairs, "ngram_pairs")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    points, texts = points.drop("label"), texts.select("node", "text")
+    while True:  # (2)
+        some = still_apart(met, label).groupBy("meeting", "label").agg(F.min("node").alias("node"))
+        counts = some.groupBy("meeting").agg(F.count("*").alias("size"))
+        some = stored(some.join(counts, "meeting").select(in_cells("meeting", "size", "label").alias("cell"), "node", "size"), "ngram_some")
+        largest = some.agg(F.max("size")).first()[0]
+        if largest is None:
+            break
+        found = home_links(some.select("cell", "node").distinct().join(texts, "node"), n, percent).where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        label, joined = joined_by(label, stored(found, "ngram_links"))
+        if not joined or largest <= CELL:
+            break
+    tried, most = None, FIRST_PAIRS
+    while True:  # (3)
+        pairs = stored(open_pairs(still_apart(met, label), points, tried, percent, most), "ngram_pairs")
         if pairs.isEmpty():
             break
-        tried = pairs
-        links = stored(verified(pairs, texts.select("node", "text"), n, percent), "ngram_links")
-        la, lb = label.select(F.col("node").alias("a"), F.col("label").alias("x")), label.select(F.col("node").alias("b"), F.col("label").alias("y"))
-        edges = links.join(la, "a").join(lb, "b").where("x <> y").select("x", "y").distinct()
-        merged = labels(edges, "x", "y", "label", "to")
-        label = stored(label.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "ngram_labels")
+        label, _ = joined_by(label, stored(verified(pairs, texts, n, percent), "ngram_links"))
+        tried, most = pairs if tried is None else tried.unionByName(pairs), most * MORE_PAIRS
     nodes = classes.join(label, "node", "left").select("class", "check", "n_shingles", F.coalesce("label", "node").alias("label"))
     out = rows.join(nodes, ["class", "check", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", "class", F.coalesce("label", "doc_id").alias("component_id"))

@@ -76,6 +76,20 @@ def test_jaccard_small_cells(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows)))
 
 
+@pytest.mark.parametrize("kinds", [1, 40])
+def test_jaccard_large_group(spark, kinds):
+    """Thousands of near copies, all of one text or of some that are just not linked, in cells of 512."""
+    draw = random.Random(kinds)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(2600):
+        ws = base[:66] + [f"k{i % kinds}x{j}" for j in range(34)] if kinds > 1 else list(base)
+        ws[draw.randrange(100)] = f"e{i}"
+        rows.append((i, " ".join(ws)))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    assert got == {i: i % kinds for i in range(2600)}
+
+
 def test_jaccard_empty(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.jaccard_components(frame(spark, [(1, None)])).select("n_shingles", "component_id").collect()] == [(0, 1)]
