@@ -22,9 +22,10 @@ group are made, and no meeting is in one task as a whole.
 (1) Each class goes, with its text, to a cell of one meeting, its *home*, where
 the tree's pairs are verified until the linked ones are connected.
 
-(2) Of every meeting whose classes are still in different components, one class
-a component goes to cells again, until a round joins nothing or all of a
-meeting's fit one cell.  Copies of one text, however many, are one after this.
+(2) Of every meeting of more than a cell whose classes are still in different
+components, one class a component is put into trees again and lists the first
+that may link with it; those pairs are verified, and rounds go on until one
+joins nothing.  Copies of one text, however many, are one after this.
 
 (3) Meetings still apart are dealt as pairs of blocks; the tree's pairs across
 components are listed, a few for each two components at first, then more, and
@@ -273,8 +274,10 @@ def blocks(met: DataFrame) -> DataFrame:
     return rows.withColumn("pair", F.xxhash64("meeting", F.least("own", "other"), F.greatest("own", "other"))).drop("n")
 
 
-def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, percent: int, most: int) -> DataFrame:
-    """``a, b``: pairs of a meeting across components that the trees let through and that weren't tried; ``most`` for each two components of two blocks."""
+def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, percent: int, most: int | None) -> DataFrame:
+    """``a, b``: pairs of a meeting across components that the trees let through and that weren't tried.
+
+    ``most`` for each two components of two blocks; without it, the first for each class of a block."""
 
     def run(batches):
         for group in by_key(batches):
@@ -288,12 +291,14 @@ def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, perce
                 i = tree.order[k]
                 for j in tree.order[tree.after(k, percent)]:
                     two = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                    if two[0] == two[1] or (apart and own[i] == own[j]) or seen.get(two, 0) >= most:
+                    if two[0] == two[1] or (apart and own[i] == own[j]) or seen.get(two, 0) >= (most or 1):
                         continue
                     low, high = min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
                     if (low, high) not in known:
                         seen[two] = seen.get(two, 0) + 1
                         a.append(low), b.append(high)
+                        if most is None:
+                            break
                 if len(a) > ROWS_AT_ONCE:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                     a, b = [], []
@@ -373,18 +378,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     points = stored(home_links(texts, n, percent), "ngram_home")
     label = points.groupBy("node").agg(F.min("label").alias("label"))
     points, texts = points.drop("label"), texts.select("node", "text")
-    while True:  # (2)
-        some = still_apart(met, label).groupBy("meeting", "label").agg(F.min("node").alias("node"))
-        counts = some.groupBy("meeting").agg(F.count("*").alias("size"))
-        some = stored(some.join(counts, "meeting").select(in_cells("meeting", "size", "label").alias("cell"), "node", "size"), "ngram_some")
-        largest = some.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        found = home_links(some.select("cell", "node").distinct().join(texts, "node"), n, percent).where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        label, joined = joined_by(label, stored(found, "ngram_links"))
-        if not joined or largest <= CELL:
+    tried = None
+    large = stored(sizes.where(F.col("size") > CELL).select("meeting"), "ngram_large")
+    while not large.isEmpty():  # (2)
+        some = still_apart(met.join(large, "meeting", "left_semi"), label).groupBy("meeting", "label").agg(F.min("node").alias("node"))
+        pairs = stored(open_pairs(some, points, tried, percent, None), "ngram_pairs")
+        label, joined = joined_by(label, stored(verified(pairs, texts, n, percent), "ngram_links"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if not joined:
             break
-    tried, most = None, FIRST_PAIRS
+    most = FIRST_PAIRS
     while True:  # (3)
         pairs = stored(open_pairs(still_apart(met, label), points, tried, percent, most), "ngram_pairs")
         if pairs.isEmpty():
