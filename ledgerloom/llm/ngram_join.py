@@ -267,11 +267,20 @@ def home_links(homes: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def blocks(met: DataFrame) -> DataFrame:
-    """Rows of meetings dealt to every pair of blocks they belong to: ``pair, own, other`` besides; a block has about ``CELL`` classes."""
-    sizes = met.groupBy("meeting").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
-    rows = met.join(sizes, "meeting").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return rows.withColumn("pair", F.xxhash64("meeting", F.least("own", "other"), F.greatest("own", "other"))).drop("n")
+    """Rows of meetings dealt to pairs of blocks of about ``CELL`` classes: ``pair, node, label, own, other``.
+
+    The largest component of a meeting needs no pairs of its own: its blocks meet
+    those of the other components only, which meet each other as well.  So a
+    group that is nearly connected is dealt once, not once for each block."""
+    parts = met.groupBy("meeting", "label").agg(F.count("*").alias("n"))
+    shape = parts.groupBy("meeting").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    small = F.col("all") <= CELL
+    rest = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("most.n")) / CELL)).cast("int")
+    shape = shape.select("meeting", F.when(~small, F.col("most.label")).alias("main"), rest.alias("rest"), F.when(small, 0).otherwise(F.ceil(F.col("most.n") / CELL)).cast("int").alias("mains"))
+    rows = met.join(shape, "meeting").withColumn("inner", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
+    own = F.when(F.col("inner"), F.col("rest") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "rest")).cast("int")
+    rows = rows.select("meeting", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.when(F.col("inner"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)).alias("other"))
+    return rows.select(F.xxhash64("meeting", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "node", "label", "own", "other")
 
 
 def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, percent: int, most: int | None) -> DataFrame:
@@ -305,12 +314,12 @@ def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, perce
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = met.join(points, "node")
+    rows = blocks(met).join(points, "node")
     if tried is not None:
         rows = rows.join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried")), "node", "left")
     else:
         rows = rows.withColumn("tried", F.lit(None).cast("array<long>"))
-    rows = blocks(rows).repartition("pair").sortWithinPartitions("pair")
+    rows = rows.repartition("pair").sortWithinPartitions("pair")
     return rows.select("pair", "node", "label", "own", "other", "n_shingles", "vector", "tried").mapInArrow(run, "a long, b long").distinct()
 
 
