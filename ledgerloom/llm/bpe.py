@@ -17,7 +17,6 @@ bounded tables of words already encoded in each Python worker.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -27,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.held import held
+from ledgerloom.llm.held import held, uncollected
 
 #: How the byte-level pre-tokenizer cuts text into words: a fixed value of the tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -167,21 +166,21 @@ class TrieBPE:
 
 
 def coder(path: str) -> TrieBPE:
-    gc.disable()  # its tables are large and free of cycles; walking them again and again takes a fifth of the time
     return held(TrieBPE, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts (null: empty) in pieces of bounded size; a longer text comes alone."""
-    for batch in batches:
-        ids, column, at = batch.column(0), batch.column(1), 0
-        while at < batch.num_rows:
-            texts, chars, start = [], 0, at
-            while at < batch.num_rows and len(texts) < DOCS_AT_ONCE and chars < CHARS_AT_ONCE:
-                texts.append(column[at].as_py() or "")
-                chars += len(texts[-1])
-                at += 1
-            yield ids[start:at], texts
+    with uncollected():
+        for batch in batches:
+            ids, column, at = batch.column(0), batch.column(1), 0
+            while at < batch.num_rows:
+                texts, chars, start = [], 0, at
+                while at < batch.num_rows and len(texts) < DOCS_AT_ONCE and chars < CHARS_AT_ONCE:
+                    texts.append(column[at].as_py() or "")
+                    chars += len(texts[-1])
+                    at += 1
+                yield ids[start:at], texts
 
 
 def encode_frame(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +199,10 @@ def encode_frame(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def checked_frame(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids, round_trip``: as ``encode_frame``, and whether the ids decode to the very text."""
+    """``doc_id, n_tokens, ids, round_trip``: as ``encode_frame``, and whether the ids decode to the very text.
+
+    A row for each row, repeated ones and those with a null id too; a null or
+    empty text has no ids, and texts of any length are encoded whole."""
 
     def run(batches):
         bpe = coder(path)

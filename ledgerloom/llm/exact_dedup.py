@@ -49,7 +49,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
     The row with the most code points in its original text stays, then the
-    smallest id (null ids come last).  ``text_sha256`` is null for rows that the
+    smallest id (null ids come last); ids are of any type that has an order.
+    The refinement decides which rows are compared: with ``all_digests`` every
+    row's digest is asked for, so it is taken in the first scan, and only the
+    grouping is spared.  ``text_sha256`` is null for rows that the
     refinement settled before their content was needed, unless ``all_digests``.
 
     Null text counts as empty; empty texts form one group; a repeated row (same
@@ -72,9 +75,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         settled = rows.join(ids, rows.doc_id.eqNullSafe(ids.doc_id), "left_anti")
         full = settled.unionByName(survivors)
     groups = survivors.groupBy("norm_bytes", "prefix_hash", "text_sha256").agg(
-        F.max(F.struct("n_points", (-F.col("doc_id")).alias("low"))).alias("best"), F.count("*").alias("size")
+        F.min(F.struct((-F.col("n_points")).alias("short"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("best"), F.count("*").alias("size")
     ).where("size > 1").select(
-        F.col("text_sha256").alias("digest"), (-F.col("best.low")).alias("best_id"), F.col("size").alias("size")
+        F.col("text_sha256").alias("digest"), F.col("best.doc_id").alias("best_id"), F.col("size").alias("size")
     )
     joined = full.join(groups, full.text_sha256 == groups.digest, "left")
     return joined.select(

@@ -15,12 +15,12 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import stored
+from ledgerloom.llm.store import stored, unused
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_EPOCHS = 3
-#: Hex digits of the key that name its range: 16 ** 3 ranges a source.
-RANGE_DIGITS = 3
+#: Rows that a key range of a source holds at most on average; the hex digits of the key that name its range follow from it.
+RANGE_ROWS = 4096
 
 
 def water_fill(sizes: list[int], weights: list[int], total: int, epochs: int) -> list[Fraction]:
@@ -66,10 +66,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     spark = docs.sparkSession
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-        .withColumn("key", key).withColumn("part", F.substring("key", 1, RANGE_DIGITS)),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("key", key),
         "mix_rows",
     )
+    n, digits = rows.count(), 1
+    while RANGE_ROWS * 16**digits < n:
+        digits += 1
+    rows = rows.withColumn("part", F.substring("key", 1, digits))
     parts = stored(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix_parts")
     found = {r.source: int(r.n) for r in parts.groupBy("source").agg(F.sum("part_size").alias("n")).collect()}
     order = sorted(found, key=lambda s: (s is None, s or ""))
@@ -104,10 +107,13 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_c
     named = lambda i, s, n: F.to_json(F.struct(i.alias("i"), s.cast("string").alias("s"), n.alias("n")))
     times = mixed.where("size > 0").select(named(F.col("doc_id"), F.col("source"), F.col("size")).alias("__row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__t"))
     times = times.groupBy(F.col("__row").alias("__of")).agg(F.sort_array(F.collect_list("__t"), False).alias("__times"))
-    rows = docs.withColumn("__row", named(F.col(id_col), F.col(source_col), word_count(F.col(text_col))))
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(text_col)))
-    out = rows.join(times, F.col("__row") == F.col("__of")).withColumn("__times", F.get("__times", F.col("__n") - 1)).where("__times > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__epoch")).drop("__epoch")
+    row, place, epoch = (unused(c, docs.columns) for c in ("row", "place", "epoch"))
+    of, each = unused("of", docs.columns), unused("each", docs.columns)
+    times = times.select(F.col("__of").alias(of), F.col("__times").alias(each))
+    rows = docs.withColumn(row, named(F.col(id_col), F.col(source_col), word_count(F.col(text_col))))
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(text_col)))
+    out = rows.join(times, F.col(row) == F.col(of)).withColumn(each, F.get(each, F.col(place) - 1)).where(F.col(each) > 0)
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(each))).alias(epoch)).drop(epoch)
 
 
 ORACLE = r"""

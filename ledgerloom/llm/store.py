@@ -30,6 +30,14 @@ def fresh_path(spark: SparkSession, name: str, purged: bool = True) -> str:
     return path
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like this one that a table doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and return a scan of it."""
     spark = df.sparkSession

@@ -124,6 +124,10 @@ def decode_frame(symbols: bytes, freqs: bytes, blocks: list[dict]) -> np.ndarray
     return np.concatenate(out)
 
 
+#: Bytes with A-Z in lower case.
+SMALL = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
 class WordTokenizer:
     """The library's encoding of texts, asked for each distinct word of a worker once.
 
@@ -131,8 +135,10 @@ class WordTokenizer:
     case.  Words are told apart by a 64-bit hash that folds ASCII case too; a full stop
     or comma behind a letter is a word of its own, since it encodes alone as it
     does there.  Only texts with what could be a special token, whose case
-    counts, are hashed by their exact bytes.  Known words are three arrays:
-    sorted hashes, and where in ``tokens`` the ids of each begin and end."""
+    counts, are hashed by their exact bytes.  Known words are arrays: sorted
+    hashes, where in ``tokens`` the ids of each begin and end, and its bytes.
+    Every word that is looked up is compared with them, so texts in which two
+    words share a hash go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,6 +155,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.hashes, self.begin, self.end, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.spelt, self.length, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a column, ``end`` after each text's, and how many each text has."""
@@ -169,8 +176,11 @@ class WordTokenizer:
         new = np.flatnonzero(np.append(self.hashes, ~distinct[-1:])[at] != distinct) if len(distinct) else np.zeros(0, np.int64)
         if len(new):
             where = first[new]
-            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], exact)
             at = np.searchsorted(self.hashes, distinct)
+        if not self.same(data, starts, ends - starts, at[which], exact):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.array([*x, end], np.uint32) for x in ids]), np.array([len(x) + 1 for x in ids], np.int64)
         size = (self.end - self.begin)[at][which]
         text = np.searchsorted(bounds[1:], starts, "right")  # of each word
         place = np.cumsum(size) - size + text
@@ -179,8 +189,17 @@ class WordTokenizer:
         out[np.repeat(place, size) + step] = self.tokens[np.repeat(self.begin[at][which], size) + step]
         return out, np.bincount(text, size, len(column)).astype(np.int64) + 1
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def same(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, known: np.ndarray, exact: bool) -> bool:
+        """Whether all words are spelt as the known ones that they were taken for, but for ASCII case unless ``exact``."""
+        if (sizes != self.length[known]).any():
+            return False
+        step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        mine = data[np.repeat(starts, sizes) + step]
+        return bool(((mine if exact else SMALL[mine]) == self.letters[np.repeat(self.spelt[known], sizes) + step]).all())
+
+    def _learn(self, hashes: np.ndarray, raw: list[bytes], exact: bool) -> None:
         """Ask the library for new words; those of letters alone go many in one text, where each ends with a token that ends a word."""
+        texts = [w.decode() for w in raw]
         ids: list = [None] * len(texts)
         plain = [k for k, w in enumerate(texts) if w.isalpha() and max(w) < "\u0130"] if self.ends is not None else []
         for i in range(0, len(plain), WORDS_AT_ONCE):
@@ -201,6 +220,10 @@ class WordTokenizer:
         self.hashes = np.concatenate([self.hashes, hashes])[order]
         self.begin, self.end = np.concatenate([self.begin, begin])[order], np.concatenate([self.end, stop])[order]
         self.tokens = np.concatenate([self.tokens, *ids])
+        length = np.array([len(w) for w in raw], np.int64)
+        spelt = np.cumsum(length) - length + len(self.letters)
+        self.spelt, self.length = np.concatenate([self.spelt, spelt])[order], np.concatenate([self.length, length])[order]
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(raw if exact else [w.lower() for w in raw]), np.uint8)])
 
 
 def word_tokenizer(path: str) -> WordTokenizer:

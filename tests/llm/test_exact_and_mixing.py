@@ -35,6 +35,14 @@ def test_exact_dedup(spark):
         assert exact_dedup.exact_dedup(frame(spark, ROWS[:0]), all_digests=digests).count() == 0
 
 
+def test_exact_dedup_ids_of_any_type(spark):
+    rows = [("b", "x y"), ("a", "xy"), ("c", "x  y"), ("d", "x  y"), (None, "x  y"), ("e", None)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string"), all_digests=True)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == {"a": ("c", 5, False), "b": ("c", 5, False), "c": ("c", 5, True), "d": ("c", 5, False), None: ("c", 5, False), "e": ("e", 1, True)}
+    edge = [(-(1 << 63), "same"), (5, "same")]
+    assert {r.keep_id for r in exact_dedup.exact_dedup(spark.createDataFrame(edge, "doc_id long, text string")).collect()} == {-(1 << 63)}
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 10], [1, 2], 20, 3) == [Fraction(20, 3), Fraction(40, 3)]
     assert mixing.water_fill([1, 100], [2, 1], 101, 3) == [3, 98]

@@ -2,6 +2,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import mixing, toxicity
@@ -45,6 +46,38 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert list(r.ids) == lib.encode(text[r.doc_id], add_special_tokens=False).ids and r.round_trip
 
 
+CLASHES = ("__id", "__row", "__n", "__digest", "digest", "place", "row", "of", "sha", "each", "epoch", "__times", "size", "key")
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows, shared ids, a very long text and columns of clashing names; and empty tables."""
+    rows = [(1, "one two three four five six", "en", "a"), (1, "one two three four five six", "en", "a"), (1, "another text under the same id", "en", "b"), (2, None, "en", "a"), (None, "no id at all here now", None, None),
+            (3, "", "en", "b"), (4, "word " * 200_000, "en", "a"), (5, "one  two three four five six", "en", "c"), (None, "no id at all here now", None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("q") for c in CLASHES})
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        got = stage(spark, docs, DATA)
+        out[name] = got.collect()
+        assert got.columns == docs.columns or name == "BPE"
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    ids = lambda name: Counter((r.doc_id, len((r.text or "").split())) for r in out[name])
+    assert ids("exact dedup") == Counter({(1, 6): 0, (5, 6): 1, (2, 0): 1, (None, 6): 1, (1, 6): 1, (4, 200_000): 1})
+    assert ids("n-gram Jaccard join") == Counter((r[0], len((r[1] or "").split())) for r in rows if r[0] != 5)
+    assert ids("mixing")[None, 6] == 6 and (2, 0) not in ids("mixing")
+    assert len(out["BPE"]) == len(rows) and all(r.round_trip for r in out["BPE"])
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", ["op2_toxicity", "op3_ngram_jaccard", "op5_substring_dedup", "op8_bpe", "op9_token_binary"])
+def test_queries_give_a_row_a_document(spark, name):
+    """The registered queries over a whole table: one row for each document, ids as they are there."""
+    from ledgerloom.llm import queries
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = queries.QUERIES[name](spark, DATA).select("doc_id").collect()
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in docs.select("doc_id").collect())
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0

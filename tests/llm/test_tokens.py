@@ -72,6 +72,15 @@ def test_word_tokenizer():
             assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [lib.encode(t or "", add_special_tokens=False).ids + [1] for t in ts[i : i + size]]
 
 
+def test_words_that_share_a_hash(monkeypatch):
+    """Words whose hashes fall together still get their own ids."""
+    monkeypatch.setattr(words, "span_hashes", lambda data, starts, ends, lower=False: (ends - starts).astype(np.uint64))
+    own, lib, ts = token_binary.WordTokenizer(tokenizer(WORD)), library(WORD), texts()
+    for i in range(0, len(ts), 50):
+        flat, sizes = own.encode(pa.array(ts[i : i + 50], pa.string()), 1)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [lib.encode(t or "", add_special_tokens=False).ids + [1] for t in ts[i : i + 50]]
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     rows = [(3 * i - 100, t) for i, t in enumerate(texts())] + [(None, "first"), (-100, "tie")]
     lib, at, want = library(WORD), 0, []
