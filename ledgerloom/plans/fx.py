@@ -13,7 +13,7 @@ from ledgerloom.operators.fill import forward
 from ledgerloom.operators.keyed import insert_missing
 
 #: Codes that the default provider lacks.
-UNSUPPORTED = frozenset({"AED", "SAR"})
+UNSUPPORTED = frozenset({"AED", "SAR", "PHP", "IDR", "SGD", "HKD", "CNY", "NZD"})
 RATES = "id_date date, currency string, rate_usd double"
 CODE = re.compile(r"[A-Z]{3}")
 
