@@ -49,6 +49,8 @@ SKETCH_BITS = 18
 #: Pairs a round lists for each two components of a block, at first and as factor from round to round.
 FIRST_PAIRS, MORE_PAIRS = 1, 16
 ROWS_AT_ONCE = 100_000
+#: Ids that are sent to every executor to pick rows where they lie (16 MB); more are joined by shuffling.
+IDS_SENT = 2_000_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +316,7 @@ def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, perce
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = blocks(met).join(points, "node")
+    rows = blocks(met).join(only(points, met), "node")
     if tried is not None:
         rows = rows.join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried")), "node", "left")
     else:
@@ -323,6 +325,12 @@ def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, perce
     return rows.select("pair", "node", "label", "own", "other", "n_shingles", "vector", "tried").mapInArrow(run, "a long, b long").distinct()
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of these nodes; where the ids are few enough, found without moving the others."""
+    ids = stored(ids.select("node").distinct(), "ngram_ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= IDS_SENT else ids, "node", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose whole texts link."""
 
@@ -334,6 +342,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 keep = pa.array([linked(s[p[i] : p[i + 1]], t[q[i] : q[i + 1]], percent) for i in range(part.num_rows)], pa.bool_())
                 yield part.select([0, 1]).filter(keep)
 
+    texts = only(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
@@ -391,14 +400,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     large = stored(sizes.where(F.col("size") > CELL).select("meeting"), "ngram_large")
     while not large.isEmpty():  # (2)
         some = still_apart(met.join(large, "meeting", "left_semi"), label).groupBy("meeting", "label").agg(F.min("node").alias("node"))
-        pairs = stored(open_pairs(some, points, tried, percent, None), "ngram_pairs")
+        pairs = stored(open_pairs(stored(some, "ngram_some"), points, tried, percent, None), "ngram_pairs")
         label, joined = joined_by(label, stored(verified(pairs, texts, n, percent), "ngram_links"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not joined:
             break
     most = FIRST_PAIRS
     while True:  # (3)
-        pairs = stored(open_pairs(still_apart(met, label), points, tried, percent, most), "ngram_pairs")
+        pairs = stored(open_pairs(stored(still_apart(met, label), "ngram_apart"), points, tried, percent, most), "ngram_pairs")
         if pairs.isEmpty():
             break
         label, _ = joined_by(label, stored(verified(pairs, texts, n, percent), "ngram_links"))
