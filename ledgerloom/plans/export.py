@@ -119,20 +119,27 @@ def split_names(statements: DataFrame) -> DataFrame:
     return statements.select("id_statement", "id_account", "statement_date", F.when(n > 1, F.concat_ws("_", base, number.cast("string"))).otherwise(base).alias("file_name"))
 
 
+def fixed(df: DataFrame, precision: int) -> DataFrame:
+    """Doubles as text with a fixed number of decimals; nulls stay."""
+    return df.select(*(F.when(F.col(f.name).isNotNull(), F.format_string(f"%.{precision}f", f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema))
+
+
 def write(df: DataFrame, path: str, precision: int = 2) -> None:
     """Quoted CSV files with a header, doubles at a fixed number of decimals."""
-    cols = [F.format_string(f"%.{precision}f", f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema]
-    df.select(*cols).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    fixed(df, precision).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
 def export(df: DataFrame, spec: Spec, path: str, statements: DataFrame | None = None, **filters) -> DataFrame:
-    """Run a spec over its table and write it; one folder for each statement if it splits."""
+    """Run a spec over its table and write it as CSV; one folder for each statement if it splits.  A spec for another format is an error."""
+    if spec.format != "csv":
+        raise ConfigError(f"no writer for format {spec.format!r}")
+    precision = 2 if spec.float_precision is None else spec.float_precision
     rows = filtered(df, spec.table, **filters)
     if not spec.split_by_statement:
         out = mapped(rows, spec)
-        write(out, path, spec.float_precision or 2)
+        write(out, path, precision)
         return out
     rows = rows.join(split_names(statements).select("id_statement", "file_name"), "id_statement")
     out = mapped(rows, spec, ("file_name",)).withColumnRenamed("__file_name", "file_name")
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).partitionBy("file_name").csv(path)
+    fixed(out, precision).write.mode("overwrite").option("header", True).option("quoteAll", True).partitionBy("file_name").csv(path)
     return out

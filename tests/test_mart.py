@@ -80,6 +80,10 @@ def test_exports(spark, made, tmp_path):
     assert abs(export.mapped(flat, spec).agg(F.sum("A")).first()[0] + flat.agg(F.sum("value")).first()[0]) < 0.005
     export.export(flat, export.THREE_COLUMN, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == flat.count()
+    none = spark.createDataFrame([(1.25, None, "a"), (2.0, 3.0, "b")], "x double, y double, file_name string")
+    assert [tuple(r) for r in export.fixed(none, 0).orderBy("file_name").collect()] == [("1", None, "a"), ("2", "3", "b")]
+    with pytest.raises(export.ConfigError):
+        export.export(flat, export.replace(export.THREE_COLUMN, format="xlsx"), str(tmp_path / "x"))
     for bad in ({"meta": {}}, {"meta": {"source_table": "x"}, "export": {}, "columns": {"A": "b"}, "format": {}, "sanitise": {}}):
         with pytest.raises(export.ConfigError):
             export.from_dict(bad)
