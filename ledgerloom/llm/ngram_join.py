@@ -29,7 +29,9 @@ joins nothing.  Copies of one text, however many, are one after this.
 
 (3) Meetings still apart are dealt as pairs of blocks; the tree's pairs across
 components are listed, a few for each two components at first, then more, and
-verified on whole texts, until none is left that was not tried.
+verified on whole texts, until none is left that was not tried.  A meeting of
+which a round listed every pair has none left, since components only grow, so
+only those that the round's limit held back are dealt again.
 """
 
 from __future__ import annotations
@@ -269,7 +271,7 @@ def home_links(homes: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def blocks(met: DataFrame) -> DataFrame:
-    """Rows of meetings dealt to pairs of blocks of about ``CELL`` classes: ``pair, node, label, own, other``.
+    """Rows of meetings dealt to pairs of blocks of about ``CELL`` classes: ``pair, meeting, node, label, own, other``.
 
     The largest component of a meeting needs no pairs of its own: its blocks meet
     those of the other components only, which meet each other as well.  So a
@@ -282,13 +284,18 @@ def blocks(met: DataFrame) -> DataFrame:
     rows = met.join(shape, "meeting").withColumn("inner", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
     own = F.when(F.col("inner"), F.col("rest") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "rest")).cast("int")
     rows = rows.select("meeting", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.when(F.col("inner"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)).alias("other"))
-    return rows.select(F.xxhash64("meeting", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "node", "label", "own", "other")
+    return rows.select(F.xxhash64("meeting", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "meeting", "node", "label", "own", "other")
 
 
 def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, percent: int, most: int | None) -> DataFrame:
     """``a, b``: pairs of a meeting across components that the trees let through and that weren't tried.
 
-    ``most`` for each two components of two blocks; without it, the first for each class of a block."""
+    ``most`` for each two components of two blocks; without it, the first for each class of a block.
+    A ``meeting`` of which that left out a pair has a row of its own, without ``a, b``."""
+
+    def rows_of(a, b, held_back):
+        none = [None] * len(held_back)
+        return pa.RecordBatch.from_arrays([pa.array(a + none, pa.int64()), pa.array(b + none, pa.int64()), pa.array([None] * len(a) + held_back, pa.int64())], ["a", "b", "meeting"])
 
     def run(batches):
         for group in by_key(batches):
@@ -297,24 +304,29 @@ def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, perce
             tree = CountTree(vectors, group.column("n_shingles").to_numpy())
             known = {(n, x) for n, xs in zip(nodes.tolist(), group.column("tried").to_pylist()) for x in xs or ()}
             apart = bool((own != other).any())  # two blocks: pairs inside one are listed where it meets itself
-            seen, a, b = {}, [], []
+            seen, a, b, more = {}, [], [], False
             for k in range(len(nodes)):
                 i = tree.order[k]
                 for j in tree.order[tree.after(k, percent)]:
                     two = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                    if two[0] == two[1] or (apart and own[i] == own[j]) or seen.get(two, 0) >= (most or 1):
+                    if two[0] == two[1] or (apart and own[i] == own[j]):
                         continue
                     low, high = min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
-                    if (low, high) not in known:
-                        seen[two] = seen.get(two, 0) + 1
-                        a.append(low), b.append(high)
-                        if most is None:
-                            break
+                    if (low, high) in known:
+                        continue
+                    if seen.get(two, 0) >= (most or 1):
+                        more = True
+                        continue
+                    seen[two] = seen.get(two, 0) + 1
+                    a.append(low), b.append(high)
+                    if most is None:
+                        more = True
+                        break
                 if len(a) > ROWS_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    yield rows_of(a, b, [])
                     a, b = [], []
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if a or more:
+                yield rows_of(a, b, group.column("meeting").unique().to_pylist() if more else [])
 
     rows = blocks(met).join(only(points, met), "node")
     if tried is not None:
@@ -322,7 +334,7 @@ def open_pairs(met: DataFrame, points: DataFrame, tried: DataFrame | None, perce
     else:
         rows = rows.withColumn("tried", F.lit(None).cast("array<long>"))
     rows = rows.repartition("pair").sortWithinPartitions("pair")
-    return rows.select("pair", "node", "label", "own", "other", "n_shingles", "vector", "tried").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("pair", "meeting", "node", "label", "own", "other", "n_shingles", "vector", "tried").mapInArrow(run, "a long, b long, meeting long").distinct()
 
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -400,17 +412,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     large = stored(sizes.where(F.col("size") > CELL).select("meeting"), "ngram_large")
     while not large.isEmpty():  # (2)
         some = still_apart(met.join(large, "meeting", "left_semi"), label).groupBy("meeting", "label").agg(F.min("node").alias("node"))
-        pairs = stored(open_pairs(stored(some, "ngram_some"), points, tried, percent, None), "ngram_pairs")
+        pairs = stored(open_pairs(stored(some, "ngram_some"), points, tried, percent, None), "ngram_pairs").where("a is not null").select("a", "b")
         label, joined = joined_by(label, stored(verified(pairs, texts, n, percent), "ngram_links"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not joined:
             break
     most = FIRST_PAIRS
     while True:  # (3)
-        pairs = stored(open_pairs(stored(still_apart(met, label), "ngram_apart"), points, tried, percent, most), "ngram_pairs")
+        apart = stored(still_apart(met, label), "ngram_apart")
+        found = stored(open_pairs(apart, points, tried, percent, most), "ngram_pairs")
+        pairs, more = found.where("a is not null").select("a", "b"), found.where("a is null").select("meeting").distinct()
         if pairs.isEmpty():
             break
         label, _ = joined_by(label, stored(verified(pairs, texts, n, percent), "ngram_links"))
+        if more.isEmpty():
+            break
+        met = apart.join(more, "meeting", "left_semi").select("meeting", "node")
         tried, most = pairs if tried is None else tried.unionByName(pairs), most * MORE_PAIRS
     nodes = classes.join(label, "node", "left").select("class", "check", "n_shingles", F.coalesce("label", "node").alias("label"))
     out = rows.join(nodes, ["class", "check", "n_shingles"], "left")

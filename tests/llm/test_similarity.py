@@ -90,6 +90,18 @@ def test_jaccard_large_group(spark, kinds):
     assert got == {i: i % kinds for i in range(2600)}
 
 
+def test_jaccard_limit_holds_back_links(spark, monkeypatch):
+    """Kinds whose points may all link, while one text links two of them: rounds go on until that pair is listed."""
+    monkeypatch.setattr(ngram_join, "CELL", 3)
+    monkeypatch.setattr(ngram_join, "MORE_PAIRS", 2)
+    shared, own = [f"w{i}" for i in range(1280)], [[f"k{k}x{i}" for i in range(220)] for k in range(4)]
+    texts = [shared[: 30 * i] + [f"e{k}x{i}"] + shared[30 * i + 1 :] + own[k] for k in range(4) for i in range(8)]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(texts)] + [(50, " ".join(shared + own[0][:110] + own[1][:110]))]
+    got = ngram_join.jaccard_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows)))
+    assert {r.component_id for r in got} == {0, 16, 24}
+
+
 def test_jaccard_empty(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.jaccard_components(frame(spark, [(1, None)])).select("n_shingles", "component_id").collect()] == [(0, 1)]
