@@ -49,7 +49,7 @@ type = "currency"
 currency_override = "GBP"
 cell = {row = 0, col = 1}
 vital = true
-numeric_modifier = {exclude_negative_values = true}
+numeric_modifier = {prefix = "-", multiplier = -1.0, exclude_negative_values = true}
 
 [segment]
 field = "segment"
