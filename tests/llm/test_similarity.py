@@ -190,6 +190,38 @@ def test_ann(spark):
     assert ann.nearest(df.limit(0), lambda i: i % 20 == 0, 20).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_ann_graph_is_small_and_every_vector_filed(spark, monkeypatch, kind):
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(6000, 32)).astype(np.float32)
+    x[1000:2500] = x[7] + 0.01 * draw.normal(size=(1500, 32))  # near copies: a file of several shards
+    built = []
+    build = ann.build
+    monkeypatch.setattr(ann, "build", lambda points: built.append(points.count()) or build(points))
+    monkeypatch.setattr(ann, "SHARD_BYTES", 400 * x.shape[1] * (4 if kind == "float" else 8), raising=False)
+    monkeypatch.setattr(ann, "CACHED", 5000, raising=False)
+    rows = [(i, v.astype(float).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, lambda i: i % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert built and built[0] <= 2 * 4 * 6000**0.5  # a vertex each would take rounds of joins over all vectors
+    assert sorted(got) == list(range(0, 6000, 20)) and all(len(v) == 20 for v in got.values())
+    y, hit = x.astype(float), 0
+    for q, found in got.items():
+        s = y @ y[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hit / (20 * len(got)) >= 0.95
+
+
+def test_ann_walk_reaches_every_vertex():
+    sims = np.random.default_rng(3).normal(size=(5, 300)).astype(np.float32) / 9
+    alone = np.repeat(np.arange(300, dtype=np.int32)[:, None], 4, axis=1)  # a graph without edges
+    for settled in (1, 60, 299, 300):
+        assert all(len(set(w)) == settled for w in ann.walk(sims, alone, settled).tolist())
+
+
 def test_toxicity(spark):
     draw = random.Random(2)
     word = lambda: "".join(draw.choice("etaoinshr") for _ in range(draw.randint(2, 7)))
